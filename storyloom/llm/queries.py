@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyloom.llm import splits, turns
+from storyloom.llm import sentences, splits, turns
 from storyloom.session import table
 
 
@@ -26,11 +27,26 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "passage"), table(spark, d, "example"))
 
 
+def _both(spark: SparkSession, d: str, operator) -> DataFrame:
+    examples = operator(table(spark, d, "example"), "example_id", "text").withColumn("origin", F.lit("example"))
+    return examples.unionByName(operator(table(spark, d, "scene"), "scene_id", "scene_name").withColumn("origin", F.lit("scene")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, sentences.sentence_offsets).select("origin", "rec_id", F.explode("ends").alias("sent_end"))
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, sentences.sentences)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
+    "p6_found": p6_found,
+    "p6_sentences": p6_sentences,
 }
 
 ORACLES: dict[str, str] = {}
