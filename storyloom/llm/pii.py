@@ -1,0 +1,336 @@
+"""Personal information inside free text (problem 2).
+
+High-recall generators propose overlapping spans of five types; boosted trees score each span by format and context
+features; calibrated thresholds select, and of overlapping spans the surest wins. The trees are fitted on labelled
+sentences made from the templates in ``pii_train`` (bounded: ``pii_train.ROWS`` sentences).
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from storyloom.llm.boost import Boosted
+
+TYPES = ["email", "phone", "id_number", "address", "person"]
+
+# Cue words of each kind (matched as word beginnings, any case).
+CUES = {
+    "id": "social security|social|ssn|passport|pasaporte|passnummer|reisepass|passeport|passaporte|licen[cs]e|permis|führerschein|visa|tax|steuer|dni|nie|nif|cpf|cnh|rg|ni number|national|insurance number|sécurité sociale|identity|identidad|identidade|ausweis|personalausweis|carte d'identité|carteira|curp|паспорт|инн|снилс|身份证|护照|パスポート|マイナンバー|आधार|पासपोर्ट|جواز|الهوية",
+    "phone": "call|phone|cell|mobile|tel|text|dial|ring|reach|number on|fridge|nummer|numéro|número|rief|anruf|appel|llam|telefon|teléfono|ligar|ligue|liguei|fax|whatsapp|poster|by heart|телефон|звон|номер|电话|手机|電話|फ़ोन|هاتف|اتصل|โทร|เบอร์",
+    "thing": "lot|order|serial|case|file|room|version|season|score|invoice|ticket|bus|model|item|part|points|isbn|flight|train|engine|crate|batch|tracking|receipt|page|chapter|los|pedido|commande|bestell",
+    "home": "liv|live|lived|moved|address|mail|grew up|ambulance|house|home|apartment|afford|wohn|zog|umgezogen|habit|déménag|adresse|viv|mud|mora|domicil|dirección|endereço|жил|живу|адрес|住|地址|住所|पता|عنوان",
+}
+_CUE = re.compile("|".join(rf"(?P<{k}>(?<![^\W\d_])(?:{v}))" for k, v in CUES.items()), re.I)
+_CUE_CODE = {"id": 1, "phone": 2, "thing": 3, "home": 4}
+
+# Titles, given names (a name list for features, not a filter), and words that are names as well.
+TITLES = set("Dr Mr Mrs Ms Mx Miss Prof Professor Professora Doctor Herr Herrn Frau Mme Mlle Monsieur Madame Maître Sr Sra Srta Dra Don Doña Señor Señora Dona Senhor Senhora Sir Sister Father Officer Coach Nurse Judge Captain Uncle Aunt Tante Onkel Tía Tío Tia Tio M".split())
+GIVEN = set(
+    """james john robert michael david william richard joseph thomas charles daniel matthew anthony steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel
+    mary patricia jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty sandra margaret ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela anna emma olivia sophia
+    hans klaus jürgen wolfgang peter stefan andreas markus sabine petra monika ursula jean pierre michel philippe marie nathalie isabelle sophie josé juan carlos luis maría carmen ana lucía joão antónio pedro beatriz ivan dmitri olga natasha
+    lysander ilsebet corvin imke mara thea odalys silvan ottoline delphine anselm linnea yara perrin radek tobias evander casimir noemi jorun bastian wendeline""".split()
+)
+WORD_NAMES = set("grace will hope mark faith joy rose bill frank art june april may august summer autumn dawn drew jack pat rob sue ray dean chase hunter iris ivy lily olive pearl ruby violet daisy heather amber crystal christian guy miles wade".split())
+MONTHS = set("january february march april may june july august september october november december sunday monday tuesday wednesday thursday friday saturday sept jan feb".split())
+PLACE_WORDS = set("street avenue road lane court drive boulevard blvd ave bay clinic ridge festival mill hall school college university hospital church park river lake bridge station hythe fenwick merrin orrin county city town village island mountain valley hill beach port saint san santa new old upper lower north south east west airport hotel museum library theatre stadium".split())
+PREPOSITIONS = set("in to from near at between and through past toward towards around outside inside of into across nach aus bei von zwischen en à de entre vers chez dans desde hacia a em para por perto até".split())
+PERSON_CUES = set("cousin kid named name told called colleague kollege kollegin collègue colega nurse think dad mom mother father brother sister uncle aunt friend manager boss chef chefe jefe jefa hieß heißt appelait appelle llamaba llamo chamava chamo was it like by with and then asked met thanked saw knew married is habe à a para por cousine cousin primo prima nachbar neighbour neighbor teacher coach student said".split())
+STRONG_CUES = set("cousin kid named name colleague kollege kollegin collègue colega nurse dad mom hieß heißt heiße appelait appelle llamaba llamo chamava chamo manager boss chef chefe jefe roommate teacher".split())
+ARTICLES = set("the a an my your his her our their this that der die das den dem des ein eine einen einem einer mein meine meinen meinem unser unsere le la les un une el los las o os as um uma".split())
+STARTERS = set("i the my it we he she they you so and but or if when what who why how did was is are do not no nobody people first looking years about on in at after during late right back around there our nothing somebody everyone version bus room call mail write as that this then because while where for of to from by with can could would please also dann wusste ich es das der die wir mein meine unser nichts and mi el la los entonces recuerdo según una un le je il nous ça c est mon ma notre un eu meu minha foi então o a lembro r q a int interviewer respondent participant answer interviewee sie was wie wer warum und am im sr sra dr mme gen apt unit box po lot".split())
+VERBS = set("did was said told asked picked walked ran held never opened called went came stood helped knew wrote read sang lived worked died smiled laughed and or everything by on in my who ging machte öffnete kam sagte a qui est ouvert répondu contestó abrió dijo era atendeu abriu disse alles erzählt me".split())
+
+_STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3}|-\d{1,2})?"
+NOISE = re.compile(
+    rf"[\[(<#]\s*{_STAMP}\s*[\])>#]|^\s*{_STAMP}(?: -)?(?=\s)|\s?(?:\(\([^()\n]{{0,40}}\)?\)|\((?!at\)|dot\))[a-z][a-z ]{{2,24}}\)|\[(?!at\]|dot\])[A-Za-z][^\]\n@]{{2,24}}\]|<[a-z ]{{3,16}}>|\*[a-z ]{{3,20}}\*|\{{[a-z ]{{3,24}}\}})(?=[\s.,!?])|(?<=[\s(])(?:u+h+m?|u+m+|e+r+m?|a+h+|h+m+|e+h|euh|ben|ähm?|este|hã|like|I mean|you know),?(?=\s)",
+    re.M,
+)
+#: A text without any of these holds no noise.
+_NOISE_HINTS = ("(", "[", "<", "#", "*", "{", " uh", " um", " er", " ah", " hm", " eh", " euh", " ben", " äh", " este", " hã", " like", " I mean", " you know", " UH", " UM", ":")
+
+_ADDR_AT = r"(?:\s?\(at\)\s?|\s?\[at\]\s?|\s+at\s+|@)"
+_ADDR_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s+dot\s+)"
+EMAIL = re.compile(rf"[\w+\-]+(?:{_ADDR_DOT}[\w+\-]+)*{_ADDR_AT}[A-Za-z0-9\-]+(?:{_ADDR_DOT}[A-Za-z0-9\-]+)+", re.I)
+_EMAIL_GATE = re.compile(r"@|[\[(]at[\])]|\sdot\s", re.I)
+NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Za-z]{1,3}[ \-]?(?=\d))?[+(]*\d(?:[ \-./()]{0,2}\d){4,17}(?:[ \-.]?[A-Za-z](?![A-Za-z]))?(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w@])|(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
+_DIGITS5 = re.compile(r"\d(?:[ \-./()]{0,2}[\dA-Za-z]){4}")
+_W = r"[^\W\d_][\w’'.\-\x80-\xff\u0100-\u024f\u2010-\u203a\u20ac\u2122©]*"
+_TAIL = _W[_W.index("]") + 1 :]
+STREET_EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Drive|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row|Parkway|Pkwy|Highway|Hwy|Circle|Trail|Alley|Mews"
+_STREETS = [
+    rf"(?:(?:Unit|Apt\.?|Flat|Suite|No\.) ?\w{{1,5}}, )?\d{{1,5}}(?: ?[\-–] ?\d{{1,5}})?[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z]{_TAIL} ){{1,3}}(?:{STREET_EN})\b\.?(?:,? (?:Apt|Unit|Suite|Flat|#)\.? ?\w{{1,5}})?",
+    r"P\.? ?O\.? ?Box \d+|(?<!\w)(?:Postfach|Apartado(?: de [Cc]orreos)?|Caixa [Pp]ostal|C\.P\.|BP|B\.P\.|а/я|Casilla|GPO Box|PO Box|P\. ?O\. ?Box) \d[\d ]*|(?:^|(?<=[.!?] )|(?<=P\.O\. ))Box \d+",
+    rf"(?:{_W} )?[A-ZÄÖÜ]{_TAIL}(?:straße|strasse|stra.{{1,3}}e|str\.|gasse|weg|allee|platz|ring|damm|ufer|hang|steig|pfad)[ \n]\d{{1,4}} ?[a-h]?\b|[A-ZÄÖÜ]{_TAIL} (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring|Damm) \d{{1,4}} ?[a-h]?\b|(?:Am|An der|An dem|Im|Zum|Zur|Auf der|Auf dem|In der|Unter den) [A-ZÄÖÜ]{_TAIL} \d{{1,4}} ?[a-h]?(?=[ ,.\n]|$)",
+    rf"\d{{1,5}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|impasse|allée|all.{{1,4}}e|quai|route|cours|square|passage|sentier) {_W}(?: {_W}){{0,3}}",
+    rf"(?:[Cc]alle|C/|[Aa]vda?\.|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino|[Cc]arrera|[Rr]onda|[Cc]arretera) (?:{_W},? ){{1,4}}?(?:n\.?[º°] ?|n.{{1,3}}|núm\. )?\d{{1,5}}\b",
+    rf"(?:[Rr]ua|[Aa]v\.|[Aa]venida|[Tt]ravessa|[Pp]raça|[Aa]lameda|[Ee]strada|[Ll]argo|[Rr]odovia) (?:{_W},? ){{1,4}}?(?:n\.?[º°] ?)?\d{{1,5}}\b",
+    rf"(?:ул\.?|улиц[аеуы]|пр\.|пр-т|проспект\w?|пер\.|переул\w+|бульвар\w?|шоссе|наб\.) [\w\-]+(?: [\w\-]+)?,? (?:д(?:ом|\.)? ?)?\d{{1,4}}",
+    r"[\u4e00-\u9fff]{1,8}(?:路|街|大道|巷)\s?\d+\s?(?:号|號)|[\u4e00-\u9fff\u30a0-\u30ff]{1,8}(?:町|丁目)\s?\d[\d\-－]*",
+]
+ADDRESS = [re.compile(p) for p in _STREETS]
+#: Per pattern, words without one of which it can't match.
+_STREET_HINTS = [
+    tuple(f" {w}" for w in STREET_EN.split("|")),
+    ("Box", "Postfach", "Apartado", "aixa", "C.P.", "BP ", "B.P.", "а/я", "Casilla"),
+    ("straße", "strasse", "stra", "str.", "gasse", "weg ", "allee", "platz", "ring ", "damm", "ufer", "hang ", "steig", "pfad", "Stra", "Str.", "Weg", "Allee", "Platz", "Gasse", "Ring", "Damm", "Am ", "An d", "Im ", "Zum", "Zur", "Auf d", "In der", "Unter den"),
+    (" rue ", "avenue", "av.", " bd", "boulevard", "place", "chemin", "impasse", "all", "quai", "route", "cours", "square", "passage", "sentier"),
+    ("alle ", "C/", "vda", "venida", "laza", "aseo", "amino", "arrera", "onda ", "arretera"),
+    ("ua ", "v. ", "venida", "ravessa", "raça", "lameda", "strada", "argo ", "odovia"),
+    ("ул", "пр", "пер", "бульвар", "шоссе", "наб"),
+    ("号", "號", "町", "丁目"),
+]
+_ROOM_FOR_NUMBER = re.compile(r"\d")
+
+CAP = re.compile(r"(?<![\w@.’'\-])(?:[A-Z][a-zà-öø-ÿ]+(?:[-][A-Z][a-zà-öø-ÿ]+)*|[A-Z]{3,}(?:-[A-Z]{3,})*)(?![\w@]|\.\w|-\d)")
+_LOWER_NAME = re.compile(rf"(?<![\w@.])({'|'.join(sorted(GIVEN | WORD_NAMES - MONTHS))}) ([a-z]{{5,}}) (told|said|asked|walked|ran|called|opened|came|went|picked|was|held|helped|wrote)\b")
+_PREV = re.compile(r"([\w’'\-]+)[.,]?\s*$")
+_NEXT = re.compile(r"\s*([\w’'\-]+)")
+_GERMAN = re.compile(r"\b(?:und|der|die|das|ich|nicht|mein|ein)\b")
+
+
+def clean_view(text: str) -> tuple[str, list[int], list[int]] | None:
+    """Text without noise (time marks, sound notes, fillers) and the offsets to map back; None if there is none."""
+    if not any(h in text for h in _NOISE_HINTS):
+        return None
+    out, starts, shifts, at, size = [], [0], [0], 0, 0
+    for m in NOISE.finditer(text):
+        out.append(text[at : m.start()])
+        size += m.start() - at
+        at = m.end()
+        starts.append(size)
+        shifts.append(at - size)
+    if not at:
+        return None
+    out.append(text[at:])
+    return "".join(out), starts, shifts
+
+
+def _context(text: str, i: int, j: int) -> tuple[int, int, int]:
+    """Nearest cue before and after the span (code), and its distance class."""
+    before, near = 0, 0
+    for m in _CUE.finditer(text, max(0, i - 48), i):
+        before, near = _CUE_CODE[m.lastgroup], min(3, (i - m.end()) // 8)
+    m = _CUE.search(text, j, j + 36)
+    return before, near, _CUE_CODE[m.lastgroup] if m else 0
+
+
+def _number_features(text: str, i: int, j: int) -> tuple:
+    s = text[i:j]
+    core = re.sub(r",? ?(?:ext\.?|x|extension) ?\d+$", "", s)
+    digits = sum(c.isdigit() for c in core)
+    groups = [len(g) for g in re.findall(r"\d+", core)]
+    seps = {c for c in core if not c.isalnum()}
+    shape = 0
+    for k, p in enumerate(_SHAPES, 1):
+        if p.fullmatch(core):
+            shape = k
+            break
+    before, near, after = _context(text, i, j)
+    letters = sum(c.isalpha() for c in core)
+    return (shape, min(digits, 18), min(len(groups), 8), before, near, after, min(letters, 4), int("+" in core), int(core[:1] == "("), int(core != s), int("-" in seps), int("." in seps), int(" " in seps), int(core.lstrip("+(")[:1] == "0"), min(groups[0], 12), min(groups[-1], 12))
+
+
+_SHAPES = [
+    re.compile(p)
+    for p in (
+        r"\d{3}[- ]\d{2}[- ]\d{4}", r"\(?\d{3}\)?[-. ]+\d{3}[-. ]\d{4}", r"\d{3}[-. ]\d{4}", r"\+?1?[-. ]?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}", r"\+\d{1,3}[\d ()\-./]{6,16}", r"0\d[\d ()\-./]{6,14}",
+        r"\d{3}\.\d{3}\.\d{3}-\d{2}", r"\d{2}\.?\d{3}\.?\d{3}-?[A-Z]", r"[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}", r"\d{2} ?\d{3} ?\d{3} ?\d{3}", r"[A-Za-z]{1,2} ?\d{6,9}", r"[A-Z]\d{3}-\d{4}-\d{4}", r"[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Za-z]", r"\d{9}", r"\d{4}-\d{3,4}(?:-\d{2})?", r"\d{2}-\d{2}-\d{2}", r"\d{4}-\d{2}", r"[XYZ]-?\d{7}-?[A-Z]",
+    )
+]
+
+
+def _email_features(text: str, i: int, j: int) -> tuple:
+    s = text[i:j]
+    low = s.lower()
+    tail = re.split(r"[.\s\])]+", low)[-1]
+    return (int("@" in s), int("(at)" in low or "[at]" in low), int(" at " in low), int(" dot " in low or "[dot]" in low or "(dot)" in low), int("." in s), min(len(tail), 10), int(tail.isalpha()), int(any(c.isdigit() for c in s)), min(len(s) // 4, 20))
+
+
+def _address_features(text: str, i: int, j: int, kind: int) -> tuple:
+    s = text[i:j]
+    before, near, after = _context(text, i, j)
+    n = re.findall(r"\d+", s)
+    prev = _PREV.search(text, max(0, i - 24), i)
+    return (kind, min(len(n), 5), min(len(n[0]), 6) if n else 0, before, near, min(s.count(" "), 10), int(bool(prev) and prev[1].lower() in PREPOSITIONS), int(bool(prev) and prev[1].lower() in ("bus", "route", "no", "nr", "line", "tram")), int(text[j : j + 1] == ","), after)
+
+
+def _kind(word: str) -> int:
+    low = word.lower()
+    return 1 if low in GIVEN else 2 if low in WORD_NAMES else 0
+
+
+def _person_features(text: str, i: int, j: int, tokens: list[str], title: int, german: int) -> tuple:
+    p = _PREV.search(text, max(0, i - 24), i)
+    n = _NEXT.match(text, j)
+    gap = text[max(0, i - 2) : i]
+    prev = p[1].lower() if p else ""
+    nxt = n[1] if n else ""
+    start = not p or gap.rstrip(" \n\"“„«(")[-1:] in ".!?:" and not title
+    before = 0 if start else 1 if prev in STRONG_CUES else 2 if prev in ARTICLES else 3 if prev in PREPOSITIONS else 4 if prev in PERSON_CUES else 5
+    tail = text[j : j + 2]
+    after = 1 if tail in ("'s", "’s") else 2 if nxt.lower() in VERBS else 3 if tail[:1] in ".!?" or not tail.strip() else 4 if tail[:1] == "," else 5 if nxt[:1].isupper() else 6
+    place = int(any(t.lower() in PLACE_WORDS for t in tokens) or nxt.lower() in PLACE_WORDS)
+    month = int(any(t.lower() in MONTHS for t in tokens))
+    wide = text[max(0, i - 40) : i].lower()
+    far = int(any(w in STRONG_CUES for w in re.findall(r"[\w’']+", wide)[-5:]))
+    last = tokens[-1]
+    return (len(tokens), title, _kind(tokens[0]), _kind(last) if len(tokens) > 1 else 0, before, after, place, month, german, int(last.isupper()), far, int("-" in last), int("," in text[i:j]), int(text[max(0, i - 4) : i] == "the "), int(nxt.lower() in ("and", "or", "und", "et", "y", "e")), int(prev in ("like", "told", "it", "à", "a", "para", "habe", "called")))
+
+
+def candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
+    """Overlapping candidate spans ``(family, start, end, features)`` of every generator."""
+    if "@" in text or ((" at " in text or "(at)" in text or "[at]" in text or " AT " in text) and _EMAIL_GATE.search(text)):
+        for m in EMAIL.finditer(text):
+            if "@" in m[0] or _EMAIL_GATE.search(m[0]):
+                yield "email", m.start(), m.end(), _email_features(text, m.start(), m.end())
+    if _ROOM_FOR_NUMBER.search(text):
+        if _DIGITS5.search(text):
+            for m in NUMBER.finditer(text):
+                yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
+        for kind, hints in enumerate(_STREET_HINTS):
+            if any(h in text for h in hints):
+                for m in ADDRESS[kind].finditer(text):
+                    yield "address", m.start(), m.end(), _address_features(text, m.start(), m.end(), kind)
+    yield from _person_candidates(text)
+
+
+_NAME_GAP = re.compile(r"(?:,? | [A-Z]\. |\n)$")
+
+
+def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
+    caps = [(m.start(), m.end(), m[0]) for m in CAP.finditer(text)]
+    if caps:
+        german = -1
+        title, at = 0, 0
+        i = 0
+        while i < len(caps):
+            s, e, w = caps[i]
+            if w in TITLES and text[e : e + 1] in (".", " "):
+                title, at = 1, e
+                i += 1
+                continue
+            t = title and s - at <= 2
+            title = 0
+            low = w.lower()
+            if not t and (low in STARTERS or (low in MONTHS and low not in WORD_NAMES)):
+                i += 1
+                continue
+            if text[s - 2 : s] == ". " and s >= 3 and text[s - 3].isupper() and (s == 3 or text[s - 4] == " "):
+                t = 1 if text[s - 3] == "M" else 2
+            tokens, end, k = [w], e, i + 1
+            while k < len(caps) and len(tokens) < 3:
+                gap = text[end : caps[k][0]]
+                if gap == " " or gap == "\n" or (len(gap) == 4 and gap[2] == "." and gap[1].isupper()) or (gap == ", " and len(tokens) == 1 and _kind(caps[k][2])):
+                    if caps[k][2].lower() in STARTERS and caps[k][2].lower() not in GIVEN:
+                        break
+                    tokens.append(caps[k][2])
+                    end = caps[k][1]
+                    k += 1
+                else:
+                    break
+            if len(tokens) == 1 and not t and low not in GIVEN and low not in WORD_NAMES:
+                # an unknown word alone: only where a name is likely
+                p = _PREV.search(text, max(0, s - 20), s)
+                if not (p and p[1].lower() in PERSON_CUES) and text[e : e + 1] not in ("'", "’"):
+                    i = k
+                    continue
+            if german < 0:
+                german = int(bool(_GERMAN.search(text)))
+            yield "person", s, end, _person_features(text, s, end, tokens, int(t), german)
+            i = k
+    if " told" in text or " said" in text or " asked" in text or " then " in text or " by " in text:
+        for m in _LOWER_NAME.finditer(text):
+            yield "person", m.start(1), m.end(2), (0, 0, _kind(m[1]), 0, 4, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+
+
+class Detector:
+    """Boosted models of every family, fitted on labelled sentences ``[(text, [(start, end, type)])]``."""
+
+    def __init__(self, labelled: list[tuple[str, list[tuple[int, int, str]]]]):
+        data: dict[str, tuple[list, list]] = {t: ([], []) for t in TYPES}
+        for text, spans in labelled:
+            for family, i, j, features in candidates(text):
+                hit = {t for s, e, t in spans if s < j and i < e}
+                for t in ("phone", "id_number") if family == "number" else (family,):
+                    data[t][0].append(features)
+                    data[t][1].append(int(t in hit))
+        self.models = {t: Boosted(x, y) for t, (x, y) in data.items()}
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """Selected spans in the text, in order and without overlap."""
+        view = clean_view(text)
+        body = view[0] if view else text
+        found = []
+        for family, i, j, features in candidates(body):
+            for t in ("phone", "id_number") if family == "number" else (family,):
+                s = self.models[t](features)
+                if s > 0:
+                    found.append((TYPES.index(t) if family != "number" else 1, -s, i, j, t))
+        if not found:
+            return []
+        order = {"email": 0, "address": 1, "phone": 2, "id_number": 2, "person": 3}
+        taken: list[tuple[int, int, str]] = []
+        for _, _, i, j, t in sorted(found, key=lambda f: (order[f[4]], f[1], f[2])):
+            if all(j <= a or i >= b for a, b, _ in taken):
+                taken.append((i, j, t))
+        taken.sort()
+        if view:
+            _, starts, shifts = view
+            back = lambda p: p + shifts[bisect_right(starts, p) - 1]
+            taken = [(back(i), back(j - 1) + 1, t) for i, j, t in taken]
+        return taken
+
+
+def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with every span replaced by the placeholder of its type."""
+    out, at = [], 0
+    for i, j, t in spans:
+        out += [text[at:i], f"[{t.upper()}]"]
+        at = j
+    return "".join(out) + text[at:]
+
+
+def find_pii(df: DataFrame, id_col: str, text_col: str, keep_text: bool = True, rows: int | None = None) -> DataFrame:
+    """``(rec_id, pii_types[, redacted])``: one row an id, with the sorted types found and the text with placeholders.
+
+    With ``keep_text=False`` only ids and types are shuffled and records without any type are left out. Null ids and
+    null texts give no row, an empty table none; of different texts under an id the types are joined and the greatest
+    redacted text is kept. The fitted trees (a few hundred kB) are sent to the executors. Other columns are ignored.
+    """
+    from storyloom.llm import pii_train
+
+    detector = df.sparkSession.sparkContext.broadcast(Detector(pii_train.sentences(rows or pii_train.ROWS)))
+    kinds = T.ArrayType(T.StringType())
+    schema = T.StructType([T.StructField("types", kinds), T.StructField("redacted", T.StringType())]) if keep_text else kinds
+
+    def types_of(spans: list) -> pd.Series:
+        return pd.Series([sorted({t for *_, t in s}) if s else None for s in spans], dtype=object)
+
+    if keep_text:
+
+        @F.pandas_udf(schema)
+        def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in it:
+                spans = [detector.value.spans(t) for t in texts]
+                yield pd.DataFrame({"types": types_of(spans), "redacted": [redact(t, s) for t, s in zip(texts, spans, strict=True)]})
+    else:
+
+        @F.pandas_udf(schema)
+        def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in it:
+                yield types_of([detector.value.spans(t) for t in texts])
+
+    run = run.asNondeterministic()  # else a filter on the result would be pushed down and the texts read twice
+    rows_ = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec_id"), run(F.col(text_col)).alias("r"))
+    if not keep_text:
+        return rows_.where("r is not null").select("rec_id", F.explode("r").alias("pii_type")).distinct()
+    types = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("r.types", F.array().cast("array<string>"))))))
+    return rows_.groupBy("rec_id").agg(types.alias("pii_types"), F.max("r.redacted").alias("redacted"))

@@ -1,0 +1,159 @@
+"""Labelled sentences for the personal-information models, made from templates with a fixed seed.
+
+Slots in braces are personal (their type is the label); slots in angle brackets are not.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+
+#: Sentences the models are fitted on.
+ROWS = 9000
+
+# Sentence templates.
+POSITIVE = """
+My email is {email}.|Write to {email} if you like.|You can reach me under {email}, that works best.|I sent the photos to {email} last week.|Schreiben Sie an {email} bitte.|Escríbame a {email} cuando quiera.|Mon adresse, c'est {email}.|Mande para {email} por favor.|It came from {email}, and I laughed.|{email} was the login.|Пишите на {email}.|请写到 {email} 吧。|She typed {email} into the form.
+Call me at {phone} tonight.|My phone number is {phone}.|You can text {phone} any time.|I dialed {phone} again and again.|{phone}, I still know it.|They wrote {phone} on the wall.|The number was {phone}.|Meine Nummer ist {phone}.|Ich rief die {phone} an.|Mon numéro, c'est le {phone}.|J'ai appelé le {phone} hier.|Mi teléfono es el {phone}.|Llamé al {phone} ayer.|Meu telefone é {phone}.|Liguei para {phone} ontem.|Мой телефон {phone}.|我的电话是 {phone}。|電話番号は {phone} です。|मेरा फ़ोन नंबर {phone} है।|رقم هاتفي {phone}.|So I texted {phone} twice.|My cell is {phone} now.|Please ring {phone} after lunch.|And {phone}, I know it by heart.|The number on the fridge was {phone}.|They put {phone} on the poster.|I kept dialing {phone} all night.
+My social security number is {id}.|She read my passport number out loud, {id}, to everyone.|On the form I wrote {idname} {id}.|They asked for my {idname}, it's {id}.|{id} is my {idname}, I know it by heart.|My {idname} was {id} and it got lost.|Meine Steuer-ID ist {id}.|Auf dem Antrag stand meine Passnummer {id}.|En el formulario puse mi DNI {id}.|Ponía mi número de pasaporte {id}.|Sur la fiche, il y avait mon numéro de sécurité sociale {id}.|Mon numéro de passeport est {id}.|No papel estava meu CPF {id}.|Meu número do passaporte é {id}.|And {id} is my {idname}.|He read my social out loud, {id}, in front of everyone.|My NI number is {id}.|{id} is my driver's license.
+We lived at {address} back then.|I moved to {address} that year.|Send it to {address}, please.|She grew up at {address}, like me.|The ambulance came to {address}.|Mail still goes to {address}.|{address} was our first place.|My address is {address}.|And {address} was all we could afford.|Wir wohnten in der {address_de}.|Ich zog in die {address_de} um.|Damals wohnten wir {address_de}.|On habitait au {address_fr}.|J'ai déménagé au {address_fr}.|Vivíamos en {address_es}.|Me mudé a la {address_es}.|A gente morava na {address_pt}.|Мы жили на {address_ru}.|我住在{address_zh}。
+My name is {name}, by the way.|I told {name} everything.|My cousin {given} picked up the phone.|They called {given} and me into the office.|There was this kid {given} in our class.|{given}'s hands were shaking.|Not many people stood up like {given} did.|Was it {given} or the other one?|{full} was my manager back then.|I went to see Dr. {surname} about it.|It was Mrs. {surname} who opened the door.|I still write to Professor {surname} every year.|A nurse, I think {full}, held my hand.|He was listed as {listed} on the form.|Then {full} walked in.|My dad, {full}, never spoke of it.|And then {lower} told me to wait outside.|Mein Chef hieß {full}.|Frau {surname} machte die Tür auf.|Mein Kollege {given} ging ans Telefon.|Ich habe {full} alles erzählt.|Mon chef s'appelait {full}.|C'est M. {surname} qui a ouvert la porte.|J'ai parlé à Mme {surname} ce jour-là.|Mon collègue {given} a répondu.|J'ai tout raconté à {full}.|Mi jefe se llamaba {full}.|El Sr. {surname} abrió la puerta.|La Sra. {surname} abrió la puerta.|Mi colega {given} contestó.|Se lo conté todo a {full}.|Meu chefe se chamava {full}.|Meu colega {given} atendeu.|Contei tudo para {full}.|Ms. {full} ran the program.|I met {given} at school.|My friend {given} said nothing.|Mr. {surname} nodded.|{full} helped us a lot.|Signed, {surname}, in blue ink.|It was signed {signed}, in blue ink.|The letter was from {signed}.|Yours, {signed}.|The form said Mr. {surname}, in blue ink.|A Sra. {surname} abriu a porta.|Then {given} left.|She married {full} in spring.|Herr {surname} nickte.|{full} was there too.|We waited for {given} all day.|I called {given} twice.|My roommate {given} laughed.|{given} and I walked home.
+""".strip().replace("\n", "|").split("|")
+NEGATIVE = """
+The lot number <lot> was on the crate.|My order no. <order> never came.|The case file <case> was still open.|The engine serial was <serial>, I know it.|It was the <season> season.|Version <version> of the form asked the same.|The score went from <dec> to <dec> overnight.|Room <n> had <n> beds.|He scored <n> points and <n> fouls.|I rated it <dec>, maybe <dec>, on the <n> item sheet.|The invoice said <lot> at the top.|Ticket <order> was the last one.|The part number <lot> was wrong.|I tweeted @ the team and got <n> likes.|We met at <n> p.m. sharp.|It cost $<money> per person.|The tracking number <serial> went nowhere.|In <year> or <year> we had <n> cows.|The train <n> to <place> left at <n>.|Bus <n> to <place> left from <street>.|We walked down <street> for <n> minutes.|<street> was closed that day.|The <place> Clinic called about bed <n>.|Das Haus Nr. <n> stand am Hang.|Der Wert stieg von <dec> auf <dec>.|Le score est passé de <dec> à <dec>.|A batch of <lot> screws came in.|My student file <case> got lost.|Batch <serial> was recalled.
+In April and June the <place> Festival came.|<word>, they said, comes in <n> forms.|I had hope and grace and will, mark my words.|We came back from <place>.|My uncle walked the whole way to <place>.|Somewhere between <place> and <place> I slept.|Back in <place> everything was quiet.|I had a choice: stay in <place> or leave.|We read a book called The <place> Mill twice.|The <place> Clinic closed its doors.|My brother ran the marathon in <place>.|In Sept. <year> the <place> Clinic closed.|Der Arzt vom Dienst fand den Brief auf dem Dachboden.|Meine Tochter eröffnete eine kleine Bäckerei in der Nähe von <place>.|Mein Bruder verlor die Stelle in der Mühle.|Meine Großmutter pflanzte <n> Birnbäume.|Wir hatten Seile, Karten usw.|Ich habe im Auto geweint, denn mein Onkel vergaß das Tor zu schließen.|Es kostete ca. <n> € inkl. MwSt. für alle.|Die Vermieterin bezahlte die ganze Reise nach dem Sturm.|Am <n>. März kam der Dr. med. vom Dienst, z. B. um <n> Uhr.|Es war der schönste Tag meines Lebens.|Es war nicht geplant – der Trainer brachte den Hund zurück.|Unser Nachbar verkaufte das alte Boot an einem Sonntag.|M. le directeur et Mme la juge ont attendu <n> min. dehors.|El Sr. director y la Dra. de turno esperaron <n> min. fuera.|Dr. no. <n> on the ward list told us to wait.|We walked 3 W. <place> blocks.|It was in the U.S. <place> was far.|Plan B. <place> it was.|We lived on St. Alban's hill, i.e. above the river.|The U.S. office closed and my wife left.|En EE. UU. todo era distinto.|My score on a Sunday was <dec>.|À l'école, ÂGE et GRÂCE étaient écrits en capitales.|NÃO, IRMÃ, MÃE, ficou escrito na parede.|The year we lived in <place>, my sister won.|Late one evening in <place>, I left.|THE INTERVIEWER: How did you feel?|RESPONDENT: I felt fine.|PARTICIPANT: We left early.|The Interviewer asked on Monday.|We drove to <place> on <month> first.|They moved near <place> in <month>.|Faith and hope kept us going.|Will you mark the page? I asked.|Hope is a small thing.|By the grace of luck we won.|Rose bushes grew in <place> Park.|He read The <place> Times.|The <place> River froze in <year>.|We saw <place> Bridge.|Every <weekday> we went to <place>.|The Harbour Festival was loud.|Über die Straße führte kein schöner Weg.|Natürlich hätte mein Bruder das nie zugegeben.|Wir aßen süße Äpfel.|Aquí, según el profesor, todo cambió.|Custava R$ <dec>, p. ex. o preço de um café.|I wanted to disappear.|My mother took over the night shift in <place>.|Der Hund lief zum Bahnhof und der Nachbar nahm die Karten.|Then <place> was far away.|It happened in <place>.|It rained in <place> when the Trainer came.|Mill <place> burned down.|Gen. admission was $<money> vs. $<money> for kids.|The winter after <place> we lost the farm.|We stayed at the <place> Hotel.|On the <place> Road we stopped.
+""".strip().replace("\n", "|").split("|")
+SYLLABLES = "ka ro li men da tor vel ish an bre co dun es far gri hol im jen kes lor mir nar os pel qui ras sel tam ul ver wil yar zen bal cor del fen".split()
+SUFFIXES = "berg ton man son ez sky lini ford vik dal gard etti ova ard ier eau er es ski ham rost mond del rez sham".split()
+PLACES = "field bury mouth wick ville stead haven moor dale burg port ham mere land wood brook".split()
+ID_NAMES = ["social security number", "SSN", "passport number", "driver's license", "student visa number", "tax ID", "national ID", "NI number", "visa number", "social"]
+FILLERS = ["uh, ", "um, ", "er, ", "(laughs) ", "[pause] ", "hmm, "]
+
+
+class _Maker:
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def digits(self, mask: str) -> str:
+        return "".join(str(self.r.randint(0, 9)) if c == "9" else self.r.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "L" else c for c in mask)
+
+    def pick(self, *masks: str) -> str:
+        return self.digits(self.r.choice(masks))
+
+    def word(self, n: int = 2) -> str:
+        return "".join(self.r.choice(SYLLABLES) for _ in range(n))
+
+    def given(self) -> str:
+        from storyloom.llm.pii import GIVEN, WORD_NAMES
+
+        pool = self.r.random()
+        if pool < 0.15:
+            return self.word(self.r.randint(2, 3)).capitalize()
+        return self.r.choice(sorted(WORD_NAMES - {"april", "june", "may", "august", "art", "bill", "chase", "summer", "autumn"}) if pool < 0.3 else sorted(GIVEN)).capitalize()
+
+    def surname(self) -> str:
+        s = (self.word(self.r.randint(1, 2)) + self.r.choice(SUFFIXES)).capitalize()
+        return f"{s}-{self.surname()}" if self.r.random() < 0.06 else s
+
+    def place(self) -> str:
+        p = self.word(self.r.randint(1, 2)).capitalize() + self.r.choice(PLACES)
+        return self.r.choice(["Port ", "Lake ", "Old ", "Upper ", "Saint-", ""]) + p if self.r.random() < 0.25 else p if self.r.random() < 0.7 else p + self.r.choice([" Bay", " Ridge", " Hill"])
+
+    def street(self) -> str:
+        return f"{self.word(2).capitalize()} {self.r.choice('Street Avenue Road Lane Court Drive'.split())}"
+
+    def address(self, kind: str) -> str:
+        r, n, w = self.r, self.r.randint(1, 999), self.word(2).capitalize()
+        if kind == "de":
+            return r.choice([f"{w}straße {n}", f"{w}er Str. {n}", f"{w}gasse {n}", f"Wohnung Am {w}hang {n}", f"Wohnung {w}er Str. {n}", f"{w}weg {n}", f"Am {w} {n}"])
+        if kind == "fr":
+            return r.choice([f"{n} rue des {w}", f"{n} bis, avenue du {w}", f"{n}, bd. de la {w}", f"{n} rue {w}", f"{n} chemin de {w}", f"{n} ter, place {w}"])
+        if kind == "es":
+            return r.choice([f"Calle {w} {n}", f"Avda. de {w} {n}", f"Plaza del {w}, {n}", f"calle {w}, n.º {n}", f"Avda. {w} {n}"])
+        if kind == "pt":
+            return r.choice([f"Rua das {w}, {n}", f"Av. do {w}, {n}", f"Travessa da {w}, {n}", f"Rua {w}, {n}"])
+        if kind == "ru":
+            return r.choice([f"ул. Садовая, д. {n}", f"улице Лесной {n}", f"ул. Мира {n}"])
+        if kind == "zh":
+            return r.choice([f"中山路{n}号", f"和平街{n}号"])
+        t = r.choice("Street St. Avenue Ave Ave. Road Rd Lane Court Drive Blvd Place Way".split())
+        head = r.choice([f"{n}", f"{n}", f"{n}", f"{n} W.", f"{n} N.", f"{n}-{n + 2}", f"Unit {r.randint(1, 40)}, {n}", f"{n}B"])
+        return r.choice([f"{head} {w} {t}", f"{head} {w} {t}", f"{head} {w} {self.word(2).capitalize()} {t}", f"P.O. Box {n}", f"PO Box {n}"])
+
+    def email(self) -> str:
+        r = self.r
+        a, b = self.given().lower(), self.word(2) + r.choice(SUFFIXES)
+        user = r.choice([f"{a}.{b}", f"{a}_{b}", f"{b}.{a[0]}", f"{a}{r.randint(1, 99)}", f"{a}-{b}", f"{a[0]}{b}+{self.word(1)}{r.randint(1, 99)}"])
+        host = r.choice(["example.org", "mail.example", "uni.example.com", "inbox.example.net", "post.test", "web.de", "gmail.com", "letters.invalid"])
+        e = f"{user}@{host}"
+        k = r.random()
+        if k < 0.12:
+            return f"{user} (at) {host}"
+        if k < 0.22:
+            return e.replace("@", "[at]").replace(".", "[dot]")
+        if k < 0.34:
+            return e.replace("@", " at ").replace(".", " dot ")
+        if k < 0.44:
+            return e.upper()
+        return f"<{e}>" if k < 0.5 else e
+
+    def fill(self, slot: str) -> str:
+        r = self.r
+        if slot.startswith("address"):
+            return self.address(slot[8:])
+        make = {
+            "email": self.email,
+            "phone": lambda: self.pick("(299) 555-0199", "299-555-0199", "299.555.0199", "299 555 0199", "299 555 0199 ext. 99", "+1 299 555 0199", "12995550199", "555-0199", "07700 900 999", "+44 7700 900999", "+49 30 23125 999", "030/23125999", "+49 (0)30 23125-999", "01 99 00 99 99", "01.99.00.99.99", "0199009999", "+33 1 99 00 99 99", "+34 699 99 99 99", "699 999 999", "+55 99 99999-9999", "+7 999 999-99-99", "299 999 9999", "+39 06 9999 9999", "8 999 999 99 99"),
+            "id": lambda: self.pick("999-99-9999", "999 99 9999", "999999999", "X9999999", "LL 999999", "LL999999", "N99999999", "D999-9999-9999", "QQ 99 99 99 L", "qq-99-99-99-L", "QQ999999L", "000.999.999-99", "99.999.999-L", "99999999L", "1 99 19 99 999 999 99", "199199999999999", "99 999 999 999", "99999999999", "L99999999", "X-9999999-L"),
+            "idname": lambda: r.choice(ID_NAMES),
+            "given": self.given,
+            "surname": self.surname,
+            "full": lambda: f"{self.given()} {self.r.choice(['', '', '', 'J. ', 'M. '])}{self.surname()}",
+            "signed": lambda: f"{self.r.choice('ABCDEFGHIJKLNOPRSTVWY')}. {self.surname()}",
+            "listed": lambda: f"{self.surname()}, {self.given()}",
+            "lower": lambda: f"{self.given()} {self.surname()}".lower().replace("-", ""),
+            "lot": lambda: self.pick("999-99-9999", "999-44-1200", "99999-999", "999999999", "99-9999-99"),
+            "order": lambda: self.pick("9999-9999-99", "4999-0099-99", "99999999"),
+            "case": lambda: self.pick("2029-999", "2019-0999", "1999/9999"),
+            "serial": lambda: self.pick("99-99-99", "999-99-999", "9999999999", "99-999-9999"),
+            "season": lambda: self.pick("1989-99", "2009-19"),
+            "version": lambda: self.pick("2.0.9", "1.19.99"),
+            "dec": lambda: self.pick("1.5", "99.9", "1,5", "99,9"),
+            "n": lambda: str(r.randint(1, 99)),
+            "year": lambda: self.pick("1999", "2019"),
+            "money": lambda: self.pick("99.95", "9.50"),
+            "place": self.place,
+            "street": self.street,
+            "word": lambda: r.choice(["Grace", "Hope", "Faith", "Joy", "Will", "Love", "Luck", "Patience"]),
+            "month": lambda: r.choice(["April", "June", "March", "August", "May"]),
+            "weekday": lambda: r.choice(["Sunday", "Monday", "Friday"]),
+        }
+        if slot == "name":
+            slot = r.choice(["given", "full", "surname", "given"])
+        return make[slot]()
+
+
+_SLOT = re.compile(r"\{(\w+)\}|<(\w+)>")
+_TYPE = {"email": "email", "phone": "phone", "id": "id_number", **dict.fromkeys(("given", "surname", "full", "listed", "lower", "name", "signed"), "person")}
+
+
+def sentences(rows: int = ROWS, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``rows`` labelled texts of one to three sentences."""
+    maker = _Maker(seed)
+    out = []
+    for _ in range(rows):
+        text, spans = "", []
+        for _ in range(maker.r.choice([1, 1, 2, 3])):
+            template = maker.r.choice(POSITIVE if maker.r.random() < 0.55 else NEGATIVE)
+            text += " " if text else ""
+            at = 0
+            for m in _SLOT.finditer(template):
+                text += template[at : m.start()]
+                value = maker.fill(m[1] or m[2])
+                if m[1] and m[1] != "idname":
+                    spans.append((len(text), len(text) + len(value), _TYPE.get(m[1], "address")))
+                text += value
+                at = m.end()
+            text += template[at:]
+        out.append((text, spans))
+    return out

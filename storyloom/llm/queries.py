@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import encoding, sentences, splits, turns
+from storyloom.llm import encoding, pii, sentences, splits, turns
 from storyloom.session import table
 
 
@@ -19,6 +19,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "narrative"), table(spark, d, "example"), table(spark, d, "split_share"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "example"), "example_id", "text", keep_text=False).withColumnRenamed("rec_id", "example_id")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "example"), "example_id", "text").withColumnRenamed("rec_id", "example_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "example"), "example_id", "text").select(F.col("rec_id").alias("example_id"))
 
@@ -51,6 +59,8 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
