@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import encoding, pii, sentences, splits, turns
+from storyloom.llm import encoding, leaks, pii, sentences, splits, turns
 from storyloom.session import table
 
 
@@ -56,6 +56,10 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d, sentences.sentences)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_turns": p4_turns,
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
+    "p8_found": p8_found,
 }
 
 ORACLES: dict[str, str] = {}
