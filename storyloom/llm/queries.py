@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import encoding, leaks, pii, sentences, splits, turns
+from storyloom.llm import encoding, language, leaks, pii, sentences, splits, turns
 from storyloom.session import table
 
 
@@ -60,6 +60,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(table(spark, d, "documents"))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
 }
 
 ORACLES: dict[str, str] = {}
