@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import encoding, language, leaks, pii, sentences, splits, turns
+from storyloom.llm import encoding, language, leaks, packing, pii, sentences, splits, turns
 from storyloom.session import table
 
 
@@ -56,6 +56,18 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d, sentences.sentences)
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of each capacity."""
+    items = packing.measured(table(spark, d, "documents"), "doc_id", "text")
+    return packing.containers_of_each(items, table(spark, d, "container_size")).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_joint(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of all permitted capacities at once."""
+    capacities = [r.capacity for r in table(spark, d, "container_size").where("capacity > 0").select("capacity").distinct().collect()]
+    return packing.containers(packing.measured(table(spark, d, "documents"), "doc_id", "text"), capacities).withColumnRenamed("item_id", "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -79,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_turns": p4_turns,
     "p6_found": p6_found,
     "p6_sentences": p6_sentences,
+    "p7_containers": p7_containers,
+    "p7_joint": p7_joint,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_languages": p9_languages,
