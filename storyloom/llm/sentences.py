@@ -317,7 +317,8 @@ def sentence_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Only offsets are shuffled, never texts. Other columns are ignored.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("rec_id"), sentence_ends_udf(F.col(text_col)).alias("ends"))
-    return rows.where(F.size("ends") > 0).groupBy("rec_id").agg(F.max("ends").alias("ends"))
+    # filtered after the grouping: a filter on the offsets would be pushed down and read every text twice
+    return rows.groupBy("rec_id").agg(F.max("ends").alias("ends")).where(F.size("ends") > 0)
 
 
 def sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
