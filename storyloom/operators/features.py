@@ -11,7 +11,9 @@ from storyloom.operators.ranking import global_row_number, portable_hash
 
 def terms(docs: DataFrame, id_col: str, text_col: str, max_n: int = 1) -> DataFrame:
     """``(id, term, tf)``: counts of the 1- to ``max_n``-grams of ``\\w*`` tokens (empty tokens included)."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.explode(ngrams(tokens(F.col(text_col)), max_n)).alias("term"))
+    # tokens are a column of their own: inside the n-gram lambdas they would be made again for every position
+    words = docs.where(F.col(text_col).isNotNull()).select(id_col, tokens(F.col(text_col)).alias("_w"))
+    rows = words.select(id_col, F.explode(F.col("_w") if max_n == 1 else ngrams(F.col("_w"), max_n)).alias("term"))
     return rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 

@@ -51,6 +51,15 @@ def scene_sentences(records: DataFrame) -> DataFrame:
     return rows.where(~F.col("sentence").isin("", " "))
 
 
+def sentence_rows(records: DataFrame) -> DataFrame:
+    """``(narr_id, scene_idx, sentence_idx, sentence, words, examples)``: a row a sentence, next to the examples of its
+    scene with their words. Words are split once, in columns of their own, not inside the overlap's loops."""
+    split = F.transform("examples", lambda e: F.struct(e.text.alias("text"), e.score.alias("score"), example_words(e.text).alias("words")))
+    rows = records.select("narr_id", "scene_idx", "text", split.alias("examples"))
+    rows = rows.select("narr_id", "scene_idx", "examples", F.posexplode(split_sentences(F.col("text"))).alias("sentence_idx", "sentence")).where(~F.col("sentence").isin("", " "))
+    return rows.select("narr_id", "scene_idx", "sentence_idx", "sentence", sentence_words(F.col("sentence")).alias("words"), "examples")
+
+
 def scored_sentences(records: DataFrame, observed: bool = False) -> DataFrame:
     """``(narr_id, scene_idx, sentence_idx, sentence, score)`` of cleaned records.
 
@@ -58,8 +67,7 @@ def scored_sentences(records: DataFrame, observed: bool = False) -> DataFrame:
     ties, if that is above 0; else null. The examples stay in the scene's array, so the pairs of a scene never leave
     its row: no join and no shuffle. The overlap is only computed where no example contains the sentence.
     """
-    rows = records.select("narr_id", "scene_idx", "examples", F.posexplode(split_sentences(F.col("text"))).alias("sentence_idx", "sentence"))
-    rows = rows.where(~F.col("sentence").isin("", " "))
+    rows = sentence_rows(records)
     hit = F.filter("examples", lambda e: F.contains(e.text, F.col("sentence")))
     keyed = ["narr_id", "scene_idx", "sentence_idx", "sentence"]
     if observed:
@@ -67,8 +75,8 @@ def scored_sentences(records: DataFrame, observed: bool = False) -> DataFrame:
         pairs = pairs.withColumn("n", F.when(F.size("hit") > 0, 0).otherwise(overlap(F.col("sentence"), F.col("e.text"), True)))
         best = pairs.groupBy(*keyed).agg(F.max_by(F.struct(F.when(F.size("hit") > 0, F.get("hit", F.lit(0)).score).otherwise(F.when(F.col("n") > 0, F.col("e.score"))).alias("score")), F.struct(F.coalesce("n", F.lit(0)), -F.col("k"))).alias("b"))
         return best.select(*keyed, "b.score")
-    words = sentence_words(F.col("sentence"))
-    runs = F.transform("examples", lambda e, k: F.struct(longest_run(words, example_words(e.text)).alias("n"), (-k).alias("k"), e.score.alias("score")))
-    best = F.array_max(F.transform(runs, lambda r: F.struct(r.n, r.k)))
-    score = F.when(F.size(hit) > 0, F.get(hit, F.lit(0)).score).otherwise(F.when(best.n > 0, F.get("examples", -best.k).score))
-    return rows.select(*keyed, score.alias("score"))
+    rows = rows.select(*keyed, "words", "examples", hit.alias("hit"))
+    run = F.transform("examples", lambda e, k: F.struct(longest_run(F.col("words"), e.words).alias("n"), (-k).alias("k")))
+    best = rows.select(*keyed, "examples", "hit", F.when(F.size("hit") == 0, F.array_max(run)).alias("best"))
+    score = F.when(F.size("hit") > 0, F.get("hit", F.lit(0)).score).otherwise(F.when(F.col("best.n") > 0, F.get("examples", -F.col("best.k")).score))
+    return best.select(*keyed, score.alias("score"))

@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {
     "blank_filter_intended": _q(_RESP, f"select narr_id, scene_idx, length({_clean('text')})::int as n_chars from rec where trim({_clean('text')}) <> ''"),
     "speaker_tag": _q(_LINES, f"select narr_id, line_no::int as line_no, case when instr(line, ':') > 0 then split_part(line, ':', 1) end as tag, case when instr(line, ':') > 0 then {_TAGS} end as speaker, {_HEAD} as heading from lines"),
     "strip_speaker": _q(_LINES, r"select narr_id, line_no::int as line_no, regexp_replace(line, '^\w*\s*\w*:\s*', '') as stripped from lines"),
-    "file_names": "select distinct narr_id, 'FLSA_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') || '.xml' as file_name from (select narr_id, try_cast(narrative_num as integer) n from narrative where regexp_matches(trim(narrative_num), '^[0-9]+$') or regexp_matches(trim(narrative_num), '^[0-9]+[.][0-9]*$')) where n is not null",
+    "file_names": "select distinct narr_id, 'FLSA_' || lpad(n, greatest(3, length(n))::int, '0') || '.xml' as file_name from (select narr_id, trim(narrative_num)::int::varchar n from narrative where regexp_matches(trim(narrative_num), '^[0-9]{1,9}$'))",
     "scene_scores_unpivot": """with l as (select * from (select *, row_number() over (partition by narrative_num order by line_no desc) r from narrative_score where narrative_num is not null) where r = 1)
  select narrative_num, 'HIGH POINT' as scene_name, high_agency as agency, high_communion as communion from l union all select narrative_num, 'LOW POINT', low_agency, low_communion from l union all select narrative_num, 'TURNING POINT', turning_agency, turning_communion from l""",
     "scene_scores_joined": """with l as (select * from (select *, row_number() over (partition by narrative_num order by line_no desc) r from narrative_score where narrative_num is not null) where r = 1),

@@ -124,8 +124,8 @@ def blank_filter(intended: bool) -> Query:
 
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    number = F.col("narrative_num").try_cast("int")
-    return table(spark, d, "narrative").where(number.isNotNull()).select("narr_id", text.file_name(number).alias("file_name")).distinct()
+    digits = F.trim("narrative_num")
+    return table(spark, d, "narrative").where(digits.rlike("^[0-9]{1,9}$")).select("narr_id", text.file_name(digits).alias("file_name")).distinct()
 
 
 # --- scenes and sentences ---
@@ -147,14 +147,13 @@ def scene_examples(spark: SparkSession, d: str) -> DataFrame:
 
 def word_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Longest overlap of every sentence with every example of its scene."""
-    rows = cleaned(spark, d).select("narr_id", "scene_idx", "examples", F.posexplode(text.split_sentences(F.col("text"))).alias("sentence_idx", "sentence")).where(~F.col("sentence").isin("", " "))
-    words = scoring.sentence_words(F.col("sentence"))
-    return rows.select("narr_id", "scene_idx", "sentence_idx", F.posexplode(F.transform("examples", lambda e: text.longest_run(words, scoring.example_words(e.text)))).alias("k", "overlap"))
+    rows = scoring.sentence_rows(cleaned(spark, d))
+    return rows.select("narr_id", "scene_idx", "sentence_idx", F.posexplode(F.transform("examples", lambda e: text.longest_run(F.col("words"), e.words))).alias("k", "overlap"))
 
 
 def containment(spark: SparkSession, d: str) -> DataFrame:
     """First example of the scene that contains the sentence."""
-    rows = cleaned(spark, d).select("narr_id", "scene_idx", "examples", F.posexplode(text.split_sentences(F.col("text"))).alias("sentence_idx", "sentence")).where(~F.col("sentence").isin("", " "))
+    rows = scoring.sentence_rows(cleaned(spark, d))
     at = F.array_min(F.filter(F.transform("examples", lambda e, k: F.when(F.contains(e.text, F.col("sentence")), k)), lambda k: k.isNotNull()))
     return rows.select("narr_id", "scene_idx", "sentence_idx", at.alias("k")).where("k is not null")
 

@@ -19,7 +19,7 @@ def read_transcripts(spark: SparkSession, path: str, keep_header: bool = False)
     Blank lines (a bare line end) go before stripping, lines of spaces stay as empty ones. The first line is dropped.
     A file is read whole, as line order is meaning; a transcript is a document of bounded size.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"FLSA_0*(\d+)\.txt$", 1).cast("int").alias("narrative_num"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"FLSA_0*(\d+)\.txt$", 1).try_cast("int").alias("narrative_num"), "value")
     lines = files.where("narrative_num is not null").select("narrative_num", F.posexplode(F.regexp_extract_all("value", F.lit(r"([^\n]*\n|[^\n]+$)"), F.lit(1))).alias("line_no", "raw"))
     lines = lines.where(~F.col("raw").isin("\n", "\r", "\r\n")).withColumn("line", strip_line_end(F.col("raw"))).drop("raw")
     return lines if keep_header else lines.where("line_no > 0")
