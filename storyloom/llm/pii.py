@@ -60,7 +60,7 @@ _ADDR_AT = r"(?:\s?\(at\)\s?|\s?\[at\]\s?|\s+at\s+|@)"
 _ADDR_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"[\w+\-]+(?:{_ADDR_DOT}[\w+\-]+)*{_ADDR_AT}[A-Za-z0-9\-]+(?:{_ADDR_DOT}[A-Za-z0-9\-]+)+", re.I)
 _EMAIL_GATE = re.compile(r"@|[\[(]at[\])]|\sdot\s", re.I)
-NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Za-z]{1,3}[ \-]?(?=\d))?[+(]*\d(?:[ \-./()]{0,2}\d){4,17}(?:[ \-.]?[A-Za-z](?![A-Za-z]))?(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w@])|(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
+NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Z]{1,2} (?=\d{6})|[A-Za-z]{1,3}-?(?=\d))?[+(]*\d(?:[ \-./()]{0,2}\d){4,17}(?:[ \-.]?[A-Za-z](?![A-Za-z]))?(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w@])|(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
 _DIGITS5 = re.compile(r"\d(?:[ \-./()]{0,2}[\dA-Za-z]){4}")
 _W = r"[^\W\d_][\w’'.\-\x80-\xff\u0100-\u024f\u2010-\u203a\u20ac\u2122©]*"
 _TAIL = _W[_W.index("]") + 1 :]
