@@ -44,7 +44,7 @@ OPEN_ENDED = set(
 )
 
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "(": ")", "（": "）", "[": "]", "{": "}", "【": "】", "‘": "’", '"': '"', "<": ">"}
-_CLOSERS = "\"”“»›’'」』》)）]}】"
+_CLOSERS = "\"”»›’'」』》)）]}】"
 _QUOTES = "\"”“»›’'」』"
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3}|-\d{1,2})?"
 _MARK = rf"[\[(<#]\s*{_STAMP}\s*[\])>#]|(?<=\n){_STAMP}(?=\s)"
@@ -83,7 +83,7 @@ def abbreviation(text: str, dot: int) -> str | None:
         at = at.get(ch)
         if at is None:
             break
-        if "" in at and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "@.")):
+        if "" in at and (i == 0 or text[i - 1].isspace() or text[i - 1] in "([„“«\"'’/-–—"):
             found = at[""]
         i -= 1
     if found:
