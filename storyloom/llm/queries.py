@@ -98,4 +98,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_languages": p9_languages,
 }
 
-ORACLES: dict[str, str] = {}
+_PLACEHOLDERS = ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS)
+
+
+def _sql_code(column: str, letters: bool) -> str:
+    t = rf"regexp_replace(lower(trim(regexp_replace({column}, '\s+', ' ', 'g'))), '\.0+$', '')"
+    digits = rf"ltrim(regexp_replace({t}, '[^0-9]', '', 'g'), '0')"
+    full = rf"regexp_replace({t}, '[^0-9]', '', 'g')"
+    head = rf"regexp_replace({t}, '[^\p{{L}}]', '', 'g')" if letters else "''"
+    return f"case when {t} in ({_PLACEHOLDERS}) or {full} = '' then null else {head} || ':' || case when {digits} = '' then '0' else {digits} end end"
+
+
+_BASE = "list_last(string_split(replace(lower(trim(source_file)), chr(92), '/'), '/'))"
+_STEM = rf"regexp_replace({_BASE}, '\.[a-z0-9]{{1,5}}$', '')"
+_SQL_FILE = rf"case when {_STEM} in ({_PLACEHOLDERS}) or regexp_replace({_STEM}, '[^\p{{L}}\p{{N}}]', '', 'g') = '' then null else regexp_replace({_BASE}, '(^|[^0-9])0+([0-9])', '\1\2', 'g') end"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""with recursive k as (select narr_id, 'n' || {_sql_code("narrative_num", False)} k from narrative union select narr_id, 'p' || {_sql_code("participant_code", True)} from narrative
+ union select narr_id, 'f' || {_sql_code("family_code", True)} from narrative union select narr_id, 's' || {_SQL_FILE} from narrative),
+ e as (select distinct a.narr_id x, b.narr_id y from k a join k b on a.k = b.k where a.narr_id is not null and b.narr_id is not null),
+ r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+ select x as narr_id, min(y) as group_id from r group by x having count(distinct y) > 1""",
+}
