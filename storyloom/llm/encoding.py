@@ -241,7 +241,7 @@ def diagnose(text: str, model: np.ndarray) -> tuple[str, str] | None:
 
 # Characters of clean text next to which nothing is suspicious, and pairs that are.
 _ODD = "[\\x80-\\x9f\\u00ad¤¦¨©¬®¯±²³´µ¶¸¹¼¾ƒ†‡ˆ‰Š‹ŒŽ™š›œžŸÐØ×÷ÞþðÿĀ-ĽĿ-ŁŃ-őŔ-ʯˇ˘-˝Ͱ-ϿЂЃѓЉЊЌЋЏђљњќћџЎўЈЅѕј‚†‡•‰‹›₣₤₧₪⁄←-⇿∀-⋿⌀-⏿─-◿★-➿㈀-㏿ㄅ-ㄯ︐-﹏｡-ﾟ\\uE000-\\uF8FF�]"
-_PAIR = "[À-ßà-ÿ][\\u00a0-¿‘-”–—…€]|[À-ÿ][À-Þ]|[а-яёіїєґ][А-ЯЁІЇЄҐ]{2}|[РСВГ][\\u00a0-¿°-¿ЎўЈҐЁЄЇІіґёєјѕїа-яА-Я№‘-”–—…€]{1}[РСВГ]|вЂ|[ВГ][\\u00a0-¿]|[锛銆鈥茅锟縺繧蜷螟譛莠荳逕陦鬘鍜鐨勫浜鎴涓]|[\\u4e00-\\u9fff][\\u00c0-\\u00ff]"
+_PAIR = "[À-ßà-ÿ][\\u00a0-¿‘-”–—…€]|[À-ÿ][À-Þ]|[а-яёіїєґ][А-ЯЁІЇЄҐ]{2}|[РСВГ][\\u00a0-¿°-¿ЎўЈҐЁЄЇІіґёєјѕїа-яА-Я№‘-”–—…€]{1}[РСВГ]|вЂ|[ВГ][\\u00a0-¿]|[锛銆鈥茅锟縺繧蜷螟譛莠荳逕陦鬘鍜鐨勫浜鎴涓]|[\\u4e00-\\u9fff][\\u00c0-\\u00ff]|[\\u0400-\\u04ff][a-z]"
 
 
 def suspicious(text: Column) -> Column:
