@@ -228,7 +228,7 @@ def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
             tokens, end, k = [w], e, i + 1
             while k < len(caps) and len(tokens) < 3:
                 gap = text[end : caps[k][0]]
-                if gap == " " or gap == "\n" or (len(gap) == 4 and gap[2] == "." and gap[1].isupper()) or (gap == ", " and len(tokens) == 1 and _kind(caps[k][2])):
+                if gap == " " or (gap == "\n" and _kind(tokens[-1])) or (len(gap) == 4 and gap[2] == "." and gap[1].isupper()) or (gap == ", " and len(tokens) == 1 and _kind(caps[k][2])):
                     if caps[k][2].lower() in STARTERS and caps[k][2].lower() not in GIVEN:
                         break
                     tokens.append(caps[k][2])
