@@ -8,6 +8,7 @@ bound without false negatives), and the rest is verified exactly by position.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -46,24 +47,31 @@ def words(text: str) -> list[str]:
     return out
 
 
-def held(doc: list[str], item: list[str], window: float = WINDOW) -> int:
-    """Most words of the item, in its order, that any item-sized window of the document holds."""
+def places_of(item: list[str]) -> dict[str, list[int]]:
+    """Positions of each word of the item, last first (for strictly increasing chains)."""
     at: dict[str, list[int]] = {}
     for k in range(len(item) - 1, -1, -1):
-        at.setdefault(item[k], []).append(k)  # descending, for strictly increasing chains
+        at.setdefault(item[k], []).append(k)
+    return at
+
+
+def held(doc: list[str], n: int, at: dict[str, list[int]], window: float = WINDOW, least: int = 1) -> int:
+    """Most words of an item of ``n`` words, in its order, that any item-sized window of the document holds.
+
+    Windows with fewer than ``least`` words of the item in any order are passed over: they can't hold that many
+    (positional bound). Below ``least`` the result is only a lower bound.
+    """
     hits = [p for p, w in enumerate(doc) if w in at]
-    if not hits:
+    if len(hits) < least:
         return 0
-    size = int(len(item) * window) + 8
-    need = 1
-    best = 0
     places = np.array(hits)
-    ends = np.searchsorted(places, places + size)
-    step = max(1, len(item) // 8)
+    ends = np.searchsorted(places, places + (int(n * window) + 8))
+    full = np.flatnonzero(ends - np.arange(len(hits)) >= least)
+    best, step = 0, max(1, n // 8)
     last = -step
-    for s in range(len(hits)):
+    for s in full.tolist():
         e = int(ends[s])
-        if e - s <= best or e - s < need or (hits[s] - last < step and s):
+        if e - s <= best or hits[s] - last < step:
             continue
         last = hits[s]
         tails: list[int] = []
@@ -75,11 +83,16 @@ def held(doc: list[str], item: list[str], window: float = WINDOW) -> int:
                 else:
                     tails[q] = k
         best = max(best, len(tails))
-        if best >= len(item):
+        if best >= n:
             break
     return best
 
 
+def share_held(doc: list[str], n: int, at: dict[str, list[int]]) -> float:
+    """Share of the item's words held, exact from ``SHARE`` on."""
+    return held(doc, n, at, least=math.ceil(n * SHARE)) / n
+
+
 def _prefixes(documents: DataFrame, items: DataFrame, extra: int) -> DataFrame:
     """``(word, item_id, need)``: the prefix words of each item, rarest in the corpus first, and how many a document must hold."""
     tokens = items.select("item_id", words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -104,31 +117,41 @@ def leaked_items(documents: DataFrame, items: DataFrame, extra: int = PREFIX_EXT
     documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     small = (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_chars
     prefix = checkpoint(_prefixes(documents, items, extra))
-    side = F.broadcast(prefix) if small else prefix
-    held_words = documents.select("doc_id", F.explode(F.array_distinct(words_column(F.col("text")))).alias("word"))
-    pairs = held_words.join(side, "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need")
     if small:
-        known = documents.sparkSession.sparkContext.broadcast({r.item_id: words(r.text) for r in items.collect()})
-        pairs = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+        # the join with the prefix words, the count and the verification in one pass over the texts, without a shuffle
+        index: dict[str, list[int]] = {}
+        need: dict[int, int] = {}
+        for r in prefix.collect():
+            index.setdefault(r.word, []).append(r.item_id)
+            need[r.item_id] = r.need
+        known = {r.item_id: (len(w), places_of(w)) for r in items.collect() if (w := words(r.text))}
+        shared = documents.sparkSession.sparkContext.broadcast((index, need, known))
         kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
 
         @F.pandas_udf(kind)
-        def verify(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for texts, ids in it:
+        def find(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            by_word, least, item = shared.value
+            for texts in it:
                 out = []
-                for text, each in zip(texts, ids, strict=True):
+                for text in texts:
                     doc = words(text)
-                    found = [(int(i), held(doc, known.value[i]) / len(known.value[i])) for i in each]
+                    count: dict[int, int] = {}
+                    for w in by_word.keys() & set(doc):
+                        for i in by_word[w]:
+                            count[i] = count.get(i, 0) + 1
+                    found = [(i, share_held(doc, *item[i])) for i, k in count.items() if k >= least[i]]
                     out.append([f for f in found if f[1] >= SHARE])
                 yield pd.Series(out, dtype=object)
 
-        rows = pairs.join(documents, "doc_id").select("doc_id", F.inline(verify("text", "ids")))
+        rows = documents.select("doc_id", F.inline(find("text")))
     else:
 
         @F.pandas_udf(T.DoubleType())
         def share(texts: pd.Series, item_texts: pd.Series) -> pd.Series:
-            return pd.Series([held(words(t), (i := words(x))) / len(i) for t, x in zip(texts, item_texts, strict=True)], dtype=float)
+            return pd.Series([share_held(words(t), len(w := words(x)), places_of(w)) for t, x in zip(texts, item_texts, strict=True)], dtype=float)
 
+        held_words = documents.select("doc_id", F.explode(F.array_distinct(words_column(F.col("text")))).alias("word"))
+        pairs = held_words.join(prefix, "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("doc_id", "item_id")
         pairs = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id")
         rows = pairs.join(documents, "doc_id").select("doc_id", "item_id", share.asNondeterministic()("text", "item_text").alias("share")).where(F.col("share") >= SHARE)
     return rows.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
