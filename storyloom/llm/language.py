@@ -100,14 +100,32 @@ def normal(text: str) -> str:
     return f" {_GAPS.sub(' ', _DROP.sub(' ', text)).strip().lower()} "
 
 
-def grams(text: str) -> list[str]:
-    """Character 1-, 2- and 3-grams of the normal form."""
-    n = len(text)
-    return [*text.replace(" ", ""), *[text[i : i + 2] for i in range(n - 1)], *[text[i : i + 3] for i in range(n - 2)]]
+#: Hash buckets of the 1-, 2- and 3-grams.
+BUCKETS = (1 << 13, 1 << 16, 1 << 17)
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def hashed(text: str) -> list[np.ndarray]:
+    """Bucket of the n-gram at each position, an array an order; 0 stands for grams over a line break and for single spaces."""
+    a = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    stop = a == 10
+    out = []
+    h, dead = np.zeros(len(a), np.uint64), np.zeros(len(a), bool)
+    for n, size in enumerate(BUCKETS):
+        m = len(a) - n
+        if m <= 0:
+            out.append(np.zeros(0, np.int64))
+            continue
+        h = (h[:m] + a[n:]) * _MIX[n]
+        dead = dead[:m] | stop[n:]
+        i = 1 + ((h ^ (h >> np.uint64(29))) * _MIX[0] >> np.uint64(40)).astype(np.int64) % (size - 1)
+        i[dead | (a == 32) if n == 0 else dead] = 0
+        out.append(i)
+    return out
 
 
 class Models:
-    """n-gram log-likelihoods, a row an n-gram and a column a language."""
+    """n-gram log-likelihoods: a table an order of n-grams, a row a hash bucket and a column a language."""
 
     def __init__(self, labelled: list[tuple[str, list[str]]], rounds: int = 2):
         """``labelled`` holds (language, sentences of a document).
@@ -117,55 +135,44 @@ class Models:
         """
         self.langs = sorted({lang for lang, _ in labelled})
         col = {lang: i for i, lang in enumerate(self.langs)}
-        docs = [(col[lang], [g for t in texts if len(g := grams(normal(t))) > 12]) for lang, texts in labelled]
+        docs = [(col[lang], [x for t in texts if len(x := normal(t)) > 6]) for lang, texts in labelled]
         for r in range(rounds + 2):
             self._fit(docs)
-            if r < rounds:
-                kept = [(k, d) for k, d in docs if d and int(sum(self._score(g) for g in d).argmax()) == k]
-            else:
-                kept = [(k, [g for g in d if int(self._score(g).argmax()) == k]) for k, d in docs]
-            if r <= rounds and len({k for k, d in kept if d}) == len(self.langs):
+            if r > rounds:
+                break
+            kept = []
+            for k, d in docs:
+                if d:
+                    s = self.score(d)
+                    kept.append((k, d if int(s.sum(axis=0).argmax()) == k else []) if r < rounds else (k, [x for x, row in zip(d, s, strict=True) if int(row.argmax()) == k]))
+            if len({k for k, d in kept if d}) == len(self.langs):
                 docs = kept
 
-    def _fit(self, docs: list[tuple[int, list[list[str]]]]) -> None:
-        counts = [Counter() for _ in self.langs]
-        for k, d in docs:
-            for g in d:
-                counts[k].update(g)
-        total = Counter()
+    def _fit(self, docs: list[tuple[int, list[str]]]) -> None:
+        counts = [np.zeros((size, len(self.langs))) for size in BUCKETS]
+        for k in range(len(self.langs)):
+            for c, i in zip(counts, hashed("\n".join(x for j, d in docs if j == k for x in d)), strict=True):
+                c[:, k] += np.bincount(i, minlength=len(c))
+        self.tables = []
         for c in counts:
-            total.update(c)
-        order_of = sorted(g for g, n in total.items() if n >= MIN_COUNT)
-        self.index = {g: i for i, g in enumerate(order_of)}
-        m = np.full((len(order_of) + 1, len(self.langs)), 0.3)
-        for k, c in enumerate(counts):
-            for g, n in c.items():
-                i = self.index.get(g)
-                if i is not None:
-                    m[i, k] += n
-        # each order of n-grams is a distribution of its own; the last row stands for the unseen
-        size = np.array([len(g) for g in order_of] + [0])
-        for order in (1, 2, 3):
-            at = size == order
-            if at.any():
-                m[at] /= m[at].sum(axis=0, keepdims=True)
-        m[-1] = m[:-1].min()
-        self.m = np.log(m).astype(np.float32) * np.float32(TEMPER)
-
-    def _score(self, g: list[str]) -> np.ndarray:
-        get, none = self.index.get, len(self.index)
-        idx = [get(x, none) for x in g]
-        return self.m[idx].sum(axis=0)
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """Log-likelihood of a sentence in every language; None without a letter."""
-        t = normal(text)
-        return self._score(grams(t)) if len(t) > 2 else None
-
-
-def weight(text: str) -> int:
-    """Letters of a sentence, those of dense scripts three times."""
-    t = normal(text)
+            c[0] = 0
+            seen = c.sum(axis=1) >= MIN_COUNT
+            p = (c + 0.3) / ((c * seen[:, None]).sum(axis=0) + 0.3 * max(1, seen.sum()))
+            # what is not seen in any language tells nothing
+            self.tables.append(np.where(seen[:, None], np.log(p) * TEMPER, 0).astype(np.float32))
+
+    def score(self, normals: list[str]) -> np.ndarray:
+        """Log-likelihood of each normalised sentence (a row) in every language (a column)."""
+        starts = np.cumsum([0, *[len(x) + 1 for x in normals[:-1]]])
+        out = np.zeros((len(normals), len(self.langs)))
+        for t, i in zip(self.tables, hashed("\n".join(normals)), strict=True):
+            if len(i):
+                out += np.add.reduceat(t[i], np.minimum(starts, len(i) - 1), axis=0)
+        return out
+
+
+def weight(t: str) -> int:
+    """Letters of a normalised sentence, those of dense scripts three times."""
     return sum(c.isalpha() for c in t) + 2 * len(_DENSE.findall(t))
 
 
@@ -214,17 +221,16 @@ def select(ll: np.ndarray, strong: np.ndarray, penalty: float = PENALTY) -> list
 
 def analyse(text: str, models: Models) -> tuple[list[tuple[str, float, float]], list[tuple[int, int, str, float]]] | None:
     """Languages ``(code, share of sentences, confidence)`` and segments ``(start, end, code, confidence)``; None without words."""
-    ends = sentence_ends(text)
     parts, at = [], 0
-    for e in ends:
-        s = models.scores(text[at:e])
-        if s is not None:
-            parts.append((at, e, s, weight(text[at:e])))
+    for e in sentence_ends(text):
+        t = normal(text[at:e])
+        if len(t) > 2:
+            parts.append((at, e, t))
         at = e
     if not parts:
         return None
-    ll = np.stack([p[2] for p in parts]).astype(float)
-    strong = np.array([p[3] >= LEAST_LETTERS for p in parts])
+    ll = models.score([p[2] for p in parts])
+    strong = np.array([weight(p[2]) >= LEAST_LETTERS for p in parts])
     chosen = select(ll, strong)
     share, post, _ = mixture(ll[:, chosen])
     pick = post.argmax(axis=1)
@@ -239,7 +245,7 @@ def analyse(text: str, models: Models) -> tuple[list[tuple[str, float, float]],
     full /= full.sum(axis=1, keepdims=True)
     langs = [(models.langs[c], float(share[k]), float(full[pick == k, c].mean()) if (pick == k).any() else 0.0) for k, c in enumerate(chosen)]
     segments: list[tuple[int, int, str, float]] = []
-    for (a, b, _, _), k, f in zip(parts, pick, full, strict=True):
+    for (a, b, _), k, f in zip(parts, pick, full, strict=True):
         code, conf = models.langs[chosen[k]], float(f[chosen[k]])
         if segments and segments[-1][2] == code:
             a0, _, _, c0 = segments[-1]
@@ -278,12 +284,18 @@ def languages(documents: DataFrame, docs: int = FIT_DOCS) -> DataFrame:
     ``label`` is the two-letter code its label names or null; ``langs`` the languages found with share of sentences and
     confidence; ``segments`` the stretches of one language (offsets in characters). Null ids, null texts and texts
     without letters give no row; an empty table, or one without any usable label, gives none. A document repeated
-    under its id is taken with its greatest text. The models (a few MB, bounded by ``docs``) go to the executors.
+    under its id with other texts gives the greatest result. The models (a few MB, bounded by ``docs``) go to the executors.
     """
+    rows = _analysed(documents, docs).groupBy("doc_id").agg(F.max(F.struct("r", "label")).alias("d"))
+    return rows.select("doc_id", "d.label", "d.r.langs", "d.r.segments")
+
+
+def _analysed(documents: DataFrame, docs: int) -> DataFrame:
+    """``(doc_id, label, r)`` of every row with words. Texts are analysed where they are read; only results are shuffled later."""
     known = fit(documents, docs)
-    rows = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max(F.struct("text", "lang")).alias("d")).select("doc_id", label_code(F.col("d.lang")).alias("label"), "d.text")
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", label_code(F.col("lang")).alias("label"), "text")
     if known is None:
-        return rows.where("false").select("doc_id", "label", F.lit(None).cast(RESULT["langs"].dataType).alias("langs"), F.lit(None).cast(RESULT["segments"].dataType).alias("segments"))
+        return rows.where("false").select("doc_id", "label", F.lit(None).cast(RESULT).alias("r"))
     models = documents.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf(RESULT)
@@ -291,12 +303,11 @@ def languages(documents: DataFrame, docs: int = FIT_DOCS) -> DataFrame:
         for texts in it:
             yield pd.DataFrame([analyse(t, models.value) or (None, None) for t in texts], columns=["langs", "segments"], dtype=object)
 
-    found = rows.select("doc_id", "label", run.asNondeterministic()("text").alias("r"))
-    return found.where("r.langs is not null").select("doc_id", "label", "r.langs", "r.segments")
+    return rows.select("doc_id", "label", run.asNondeterministic()("text").alias("r")).where("r.langs is not null")
 
 
 def relabelled(documents: DataFrame) -> DataFrame:
     """``(doc_id, lang)`` for the documents whose label is missing, no language, or not the one and only language."""
-    found = languages(documents).select("doc_id", "label", F.transform("langs", lambda x: x.lang).alias("langs"))
+    found = _analysed(documents, FIT_DOCS).select("doc_id", "label", F.transform("r.langs", lambda x: x.lang).alias("langs"))
     case = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.coalesce("label", F.lit("")))
     return found.where(case).select("doc_id", F.explode("langs").alias("lang")).distinct()
