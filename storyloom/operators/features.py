@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import random
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import ngrams, tokens
@@ -53,6 +55,20 @@ def unpaired_split(df: DataFrame, id_col: str, label: str, share: float = 0.66)
     return left.join(right, "rn").withColumn("is_train", F.col("rn") <= F.ceil(F.lit(n) * F.lit(share))).drop("_h", "rn")
 
 
+def shuffle_orders(n: int, seed: int = 42, lists: int = 2) -> list[list[int]]:
+    """Positions after shuffling ``lists`` lists of ``n`` items one after the other from one seed, as the observed split
+    does it (swap i with ``int(random() * (i + 1))`` from the end). Sequential by nature, for bounded ``n``."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(lists):
+        order = list(range(n))
+        for i in range(n - 1, 0, -1):
+            j = int(r.random() * (i + 1))
+            order[i], order[j] = order[j], order[i]
+        out.append(order)
+    return out
+
+
 def top_features(coefs: DataFrame, n: int, by: str = "label") -> DataFrame:
     """The ``n`` terms of greatest coefficient of each class, with their rank (ties by term)."""
     w = Window.partitionBy(by).orderBy(F.desc("coef"), "term")
@@ -70,8 +86,3 @@ def top_and_bottom(coefs: DataFrame, n: int) -> DataFrame:
     low = coefs.orderBy("coef", "term").limit(n).withColumn("side", F.lit("bottom"))
     return top.unionByName(low)
 
-
-def vector_column(df: DataFrame, vocabulary: list[str], text_col: str, max_n: int = 1) -> Column:
-    """Dense array of tf of a bounded vocabulary (for the grid's models)."""
-    found = ngrams(tokens(F.col(text_col)), max_n)
-    return F.transform(F.array(*[F.lit(v) for v in vocabulary]), lambda v: F.size(F.filter(found, lambda t: t == v)).cast("double"))

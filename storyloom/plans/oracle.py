@@ -134,5 +134,15 @@ ORACLES: dict[str, str] = {
     "normalize_weights": _q(_NORM, "select l_orderkey, l_linenumber, round(normalized, 6) as normalized from nw"),
     "highlight": _q(_NORM, "select l_orderkey, l_linenumber, case when normalized <= 0.2 then 'on_green' when normalized <= 0.4 then 'on_cyan' when normalized <= 0.6000000000000001 then 'on_blue' when normalized <= 0.8 then 'on_magenta' else 'on_red' end as highlight from nw"),
     "word_weights": _q(_COEF, r", w as (select example_id, label, unnest(range(len(ws)))::int word_idx, unnest(ws) word from (select example_id, label, list_filter(string_split(regexp_replace(doc, '[^\x00-\x7F]', '', 'g'), ' '), lambda x: x <> '') ws from docs where label is not null)) select w.example_id, word_idx, word, round(coalesce(coef * tfidf, 0), 6) as weight from w left join tfidf t on t.example_id = w.example_id and t.term = word left join coefs c on c.term = word and c.label = w.label").replace(" , w as", ", w as"),
+    "residuals": _q(_PRED, "select example_id, prediction - label as residual from pred where label is not null"),
+    "class_column": _q(_DOCS, "select example_id, case label when -1 then 'low' when 0 then 'no' else 'high' end as column from docs where label is not null"),
+    "tfidf_refit": _q(_TOK, f""", sp as (select example_id, row_number() over (order by {_HASH.format(k="example_id")}, example_id) <= ceil((select count(*) from docs) * 0.66) tr from docs),
+ te as (select terms.* from terms join sp on sp.example_id = terms.example_id where not tr), own as (select term, count(*) df from te group by 1), known as (select term, count(*) df from terms join sp on sp.example_id = terms.example_id where tr group by 1),
+ v1 as (select example_id, te.term, tf * (ln((1.0 + (select count(*) from sp where not tr)) / (1 + df)) + 1) v from te join own on own.term = te.term), v2 as (select example_id, te.term, tf * (ln((1.0 + (select count(*) from sp where tr)) / (1 + df)) + 1) v from te join known on known.term = te.term),
+ n1 as (select example_id, sqrt(sum(v * v)) n from v1 group by 1), n2 as (select example_id, sqrt(sum(v * v)) n from v2 group by 1)
+ select v1.example_id, v1.term, round(v1.v / n1.n, 6) as observed, round(v2.v / n2.n, 6) as intended from v1 join n1 on n1.example_id = v1.example_id left join v2 on v2.example_id = v1.example_id and v2.term = v1.term left join n2 on n2.example_id = v1.example_id""").replace(" , sp as", ", sp as"),
+    "colored_text": _q(_COEF, r""", w as (select example_id, label, unnest(range(len(ws)))::int word_idx, unnest(ws) word from (select example_id, label, list_filter(string_split(regexp_replace(doc, '[^\x00-\x7F]', '', 'g'), ' '), lambda x: x <> '') ws from docs where label is not null)),
+ cw as (select w.example_id, word_idx, word, round(coalesce(coef * tfidf, 0) * 10, 6) v from w left join tfidf t on t.example_id = w.example_id and t.term = word left join coefs c on c.term = word and c.label = w.label)
+ select example_id, string_agg(chr(27) || '[' || (case when v <= 0.2 then '42' when v <= 0.4 then '46' when v <= 0.6000000000000001 then '44' when v <= 0.8 then '45' else '41' end) || 'm' || chr(27) || '[37m' || word || chr(27) || '[0m', ' ' order by word_idx) as text from cw group by 1""").replace(" , w as", ", w as"),
     "color_key": "select * from (values (0, 'green', 'lowest'), (1, 'cyan', 'low'), (2, 'blue', 'middle'), (3, 'magenta', 'high'), (4, 'red', 'highest')) t(idx, color, meaning)",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import maths, text
 from storyloom.functions.stem import stem_text
 from storyloom.operators import evaluate, features, models, ordinal, ranking, responses, scoring, segment, shred, weights
-from storyloom.session import checkpoint, table
+from storyloom.session import checkpoint, table, union_all
 from storyloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +236,35 @@ def roc_cell(spark: SparkSession, d: str) -> DataFrame:
     return models.cell_roc(rows.where("is_train"), rows.where("not is_train"), "example_id", "doc", "label", **CELL)
 
 
+def grid_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = checkpoint(features.train_test_split(docs(spark, d).where("label is not null"), "example_id"))
+    cells = evaluate.param_grid(spark, 40, 60, 20, n_c=1, c_from=-1, c_to=-1, max_ngram=1)
+    return models.grid_search(cells, rows.where("is_train"), rows.where("not is_train"), "example_id", "doc", "label")
+
+
+def model_mae(spark: SparkSession, d: str) -> DataFrame:
+    """Mean absolute error of the ordinal, logistic and ridge models over folds that hold every class."""
+    rows = vectors(spark, d).withColumn("y", F.col("label") + 1)
+    folds = checkpoint(evaluate.shuffle_split(rows, "vec_id", 2))
+    parts = []
+    for r in evaluate.complete_folds(folds, "y").collect():
+        train, test = folds.where(f"fold = {r.fold} and not is_test"), folds.where(f"fold = {r.fold} and is_test")
+        for name, p in (("ordinal", ordinal.OrdinalLogistic.fit(train, "x", "y", 3, max_iter=15).predict("x")), ("logistic", models.OneVsRest.fit(train, "x", "y").predict("x")), ("ridge", models.Ridge.fit(train, "x", "y").predict("x", rounded=True))):
+            parts.append(test.select(F.lit(name).alias("model"), "fold", "y", p.cast("double").alias("p")))
+    return evaluate.mean_absolute_error(union_all(parts), ["model"], "y", "p")
+
+
+def tfidf_refit(spark: SparkSession, d: str) -> DataFrame:
+    """tf-idf of the test part by document frequencies of its own (observed) and of the training part (intended)."""
+    split = checkpoint(features.train_test_split(docs(spark, d).select("example_id", "doc"), "example_id"))
+    train, test = split.where("is_train"), split.where("not is_train")
+    counts = checkpoint(features.terms(test, "example_id", "doc"))
+    known = features.document_frequency(features.terms(train, "example_id", "doc"))
+    own = features.tfidf(counts, "example_id", test.count())
+    right = features.tfidf(counts, "example_id", train.count(), known)
+    return own.select("example_id", "term", six("tfidf").alias("observed")).join(right.select("example_id", "term", six("tfidf").alias("intended")), ["example_id", "term"], "left")
+
+
 def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Scene passages written as XML and read again."""
     # the checkpoint folder is the one all executors share; a temporary one serves where none is set
@@ -300,6 +329,12 @@ QUERIES: dict[str, Query] = {
     "normalize_weights": lambda s, d: normalized_rows(s, d).select("l_orderkey", "l_linenumber", six("normalized").alias("normalized")),
     "highlight": lambda s, d: weights.colored_words(normalized_rows(s, d)).select("l_orderkey", "l_linenumber", "highlight"),
     "word_weights": lambda s, d: weight_rows(s, d).select("example_id", "word_idx", "word", six("weight").alias("weight")),
+    "colored_text": lambda s, d: weights.colored_text(weights.colored_words(weight_rows(s, d).withColumn("normalized", F.round(F.col("weight") * 10, 6))), "example_id"),
+    "residuals": lambda s, d: labelled_predictions(s, d).select("example_id", (F.col("prediction") - F.col("label")).alias("residual")),
+    "class_column": lambda s, d: docs(s, d).where("label is not null").select("example_id", F.element_at(F.array(F.lit("low"), F.lit("no"), F.lit("high")), F.col("label") + 2).alias("column")),
+    "tfidf_refit": tfidf_refit,
+    "grid_search": grid_search,
+    "model_mae": model_mae,
     "color_key": lambda s, d: weights.color_key(s),
     "ovr_logistic": ovr_logistic,
     "ridge_fit": ridge_fit,

@@ -194,3 +194,9 @@ def test_models_learn(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(2), xc.T @ yc)
     assert np.allclose(ridge.coefs, want, atol=1e-3)
+
+
+def test_shuffle_orders_are_permutations_and_differ():
+    a, b = features.shuffle_orders(50)
+    assert sorted(a) == sorted(b) == list(range(50)) and a != b
+    assert features.shuffle_orders(50) == [a, b] and features.shuffle_orders(0) == [[], []]
