@@ -103,14 +103,20 @@ def score_label(score: Column, strict: bool = False) -> Column:
 
 
 def longest_run(left: Column, right: Column) -> Column:
-    """Length of the longest run of equal words both arrays share (the empty word counts)."""
-    zero = F.transform(right, lambda _: F.lit(0))
+    """Length of the longest run of equal words both arrays share (the empty word counts).
 
-    def step(acc: Column, word: Column) -> Column:
-        row = F.transform(right, lambda w, j: F.when(w == word, F.coalesce(F.get(acc.row, j - 1), F.lit(0)) + 1).otherwise(0))
-        return F.struct(row.alias("row"), F.greatest(acc.best, F.coalesce(F.array_max(row), F.lit(0))).alias("best"))
+    The longest run that ends at a word is at most one longer than the best before it, so each word of ``left`` needs a
+    single substring test of the run one longer than the best, among the joined words of ``right``.
+    """
+    mark = F.lit("\x01")
+    hay = F.when(F.size(right) > 0, F.concat(mark, F.array_join(right, "\x01"), mark)).otherwise("")
 
-    return F.aggregate(left, F.struct(zero.alias("row"), F.lit(0).alias("best")), step, lambda acc: acc.best)
+    def step(acc: Column, i: Column) -> Column:
+        run = F.concat(mark, F.array_join(F.slice(left, i - acc.best, acc.best + 1), "\x01"), mark)
+        return F.struct(acc.hay.alias("hay"), F.when((i > acc.best) & F.contains(acc.hay, run), acc.best + 1).otherwise(acc.best).alias("best"))
+
+    ends = F.when(F.size(left) > 0, F.sequence(F.lit(1), F.size(left))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(ends, F.struct(hay.alias("hay"), F.lit(0).alias("best")), step, lambda acc: acc.best)
 
 
 def tokens(text: Column) -> Column:

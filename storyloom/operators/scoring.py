@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions.text import longest_run, split_sentences
+from storyloom.session import spread
 
 #: Examples with so many words are matched with the popular-word rule in observed mode.
 LONG_EXAMPLE = 200
@@ -55,7 +56,7 @@ def sentence_rows(records: DataFrame) -> DataFrame:
     """``(narr_id, scene_idx, sentence_idx, sentence, words, examples)``: a row a sentence, next to the examples of its
     scene with their words. Words are split once, in columns of their own, not inside the overlap's loops."""
     split = F.transform("examples", lambda e: F.struct(e.text.alias("text"), e.score.alias("score"), example_words(e.text).alias("words")))
-    rows = records.select("narr_id", "scene_idx", "text", split.alias("examples"))
+    rows = spread(records, "narr_id", "scene_idx").select("narr_id", "scene_idx", "text", split.alias("examples"))
     rows = rows.select("narr_id", "scene_idx", "examples", F.posexplode(split_sentences(F.col("text"))).alias("sentence_idx", "sentence")).where(~F.col("sentence").isin("", " "))
     return rows.select("narr_id", "scene_idx", "sentence_idx", "sentence", sentence_words(F.col("sentence")).alias("words"), "examples")
 

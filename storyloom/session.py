@@ -53,5 +53,12 @@ def salted_lookup(df: DataFrame, lookup: DataFrame, key: str, hot: list, how: st
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, for work that is heavy for its bytes: an explicit number is not coalesced by AQE."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
