@@ -157,6 +157,12 @@ def _natural_case(text: str) -> float:
     return sum(w[1:].islower() or (w.isupper() and len(w) < 5) for w in words) / len(words) if words else 0.0
 
 
+def _mixed(text: str, start: int, end: int, new: str) -> bool:
+    """Whether a restored run would make a word of Latin and Cyrillic letters: the Latin letters with accents were right."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    return bool((before.isascii() and before.isalpha() and _CYR_WORD.match(new[0])) or (after.isascii() and after.isalpha() and _CYR_WORD.match(new[-1])))
+
+
 def _invert_legacy(text: str, right: str, wrong: str) -> tuple[str, int]:
     """Text of a one-byte encoding read with another one; taken whole, if it gives Cyrillic words in natural case."""
     if right not in ("cp1251", "koi8-r", "cp866"):
@@ -169,7 +175,7 @@ def _invert_legacy(text: str, right: str, wrong: str) -> tuple[str, int]:
         for m in _HIGH.finditer(piece):
             if all(c in own for c in m[0]):
                 new = bytes([own[c] for c in m[0]]).decode(right, "replace")
-                if _PLAUSIBLE.fullmatch(new) and _CYR_WORD.search(new):
+                if _PLAUSIBLE.fullmatch(new) and _CYR_WORD.search(new) and not _mixed(piece, m.start(), m.end(), new):
                     out += [piece[at : m.start()], new]
                     at = m.end()
                     n += len(m[0])
@@ -189,6 +195,33 @@ def invert(text: str, chain: str) -> tuple[str, int]:
     return _invert_utf8(text, wrong, int(times or 1)) if right == "utf-8" else _invert_legacy(text, right, wrong)
 
 
+@cache
+def _sequences() -> re.Pattern:
+    """The runs of every chain that begins with UTF-8 read as a one-byte encoding; two characters beyond ASCII at least."""
+    return re.compile("(?=[^\\x00-\\x7f]{2})(?:" + "|".join(_runs(e).pattern for e in SINGLE_BYTE) + ")")
+
+
+@cache
+def _wide_alone() -> re.Pattern:
+    """Runs that a multi-byte chain may invert: longer than a character, or one of the characters that invert by themselves."""
+    alone = {c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if any(_invert_wide(c, e) for e in MULTI_BYTE)}
+    return re.compile("[^\\x00-\\x7f]{2,}|[" + "".join(map(re.escape, sorted(alone))) + "]")
+
+
+# Runs beyond ASCII that are not a single character beside a Latin letter (which no Cyrillic chain takes, see _mixed).
+_OWN_RUN = re.compile(r"[^\x00-\x7f�]{2,}|(?<![A-Za-z])[^\x00-\x7f�](?![A-Za-z])")
+
+
+def invertible(text: str) -> bool:
+    """Whether some chain can invert a place of the text, or bytes were lost; derived from the chains, it misses none."""
+    if "�" in text or _sequences().search(text):
+        return True
+    if any(_invert_wide(m[0], e) for m in _wide_alone().finditer(text) for e in MULTI_BYTE):
+        return True
+    runs = _OWN_RUN.findall(text)
+    return sum(map(len, runs)) >= 4 and any(_invert_legacy(text, a, b)[1] for a, b in LEGACY)
+
+
 def bigrams(text: str) -> np.ndarray:
     """Hashed byte bigrams of the record's non-ASCII runs, each with one character around it."""
     raw = b"\x00".join(text[max(0, m.start() - 1) : m.end() + 1].encode("utf-8", "replace") for m in _WIDE.finditer(text))
@@ -215,6 +248,8 @@ def diagnose(text: str, model: np.ndarray) -> tuple[str, str] | None:
     Chains are tried in the classifier's order, those behind "clean" too (a short garbled place in a long clean
     record); only strict decodability decides. Restoring goes on until no chain applies, so chains may differ by place.
     """
+    if not invertible(text):
+        return None
     b = bigrams(text)
     if not len(b):
         return None
@@ -245,7 +280,9 @@ _PAIR = "[À-ßà-ÿ][\\u00a0-¿‘-”–—…€]|[À-ÿ][À-Þ]|[а-яёії
 
 
 def suspicious(text: Column) -> Column:
-    """Cheap test, on the JVM side, of what the classifier has to look at: odd characters and pairs of any chain."""
+    """Cheap test, on the JVM side, of what is not taken for a clean record to train on: odd characters and pairs of any chain.
+
+    It misses garbled records, so it does not decide what the classifier looks at."""
     # every alternative begins with a non-ASCII character: the lookahead passes over ASCII at the cost of one comparison
     return text.rlike("[^\\x00-\\x7F]") & text.rlike(f"(?=[^\\x00-\\x7F])(?:{_ODD}|{_PAIR})")
 
@@ -276,5 +313,6 @@ def garbled(df: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -
             found = [diagnose(x, model.value) or (None, None) for x in texts]
             yield pd.DataFrame(found, columns=["chain", "restored"], dtype=object)
 
-    rows_ = df.where(F.col(id_col).isNotNull() & t.isNotNull()).where(suspicious(t)).select(F.col(id_col).alias("rec_id"), run.asNondeterministic()(t).alias("r"))
+    # every chain leaves a character beyond ASCII, so only records without one are passed over
+    rows_ = df.where(F.col(id_col).isNotNull() & t.rlike("[^\\x00-\\x7F]")).select(F.col(id_col).alias("rec_id"), run.asNondeterministic()(t).alias("r"))
     return rows_.where("r.chain is not null").groupBy("rec_id").agg(F.max("r").alias("r")).select("rec_id", "r.chain", "r.restored")

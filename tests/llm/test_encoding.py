@@ -44,3 +44,19 @@ def test_table(spark):
     got = {r.rec_id: r for r in X.garbled(df, "id", "text").collect()}
     assert set(got) == {100, 104} and got[100].restored == CLEAN[0] and got[104].restored == "é " * 50_000
     assert X.garbled(df.where("false"), "id", "text").count() == 0
+
+
+def test_nothing_is_dropped_before_the_classifier(spark):
+    bad = ["Quando eu tinha 26 anos, minha avГі perdeu o emprego.", "mi mejor amigo me llevГі al hospital.", "mi tío pagГі todo el viaje", "й ЧПФ НПК ДЕДХЫЛБ РПФЕТСМ ТБВПФХ ОБ НЕМШОЙГЕ! "]
+    good = ["El niño soñó con mañana.", "Wir aßen süße Äpfel.", "A emoção também é memória, não é?"]
+    df = spark.createDataFrame(list(enumerate(bad + good + CLEAN * 8)), "id long, text string")
+    got = {r.rec_id: r.restored for r in X.garbled(df, "id", "text").collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0] == "Quando eu tinha 26 anos, minha avó perdeu o emprego."
+
+
+@pytest.mark.parametrize("chain", X.CHAINS[1:])
+def test_the_quick_test_misses_nothing_a_chain_can_invert(chain):
+    for t in CLEAN:
+        bad = X.garble(t, chain)
+        assert X.invertible(bad) or not X.invert(bad, chain)[1]
+        assert X.invertible(t) or not any(X.invert(t, c)[1] for c in X.CHAINS)
