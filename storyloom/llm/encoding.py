@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -22,7 +23,9 @@ SINGLE_BYTE = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1
 MULTI_BYTE = ["gb18030", "cp932", "big5", "cp949"]
 #: Text in these one-byte encodings read with another one.
 LEGACY = [("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "latin-1"), ("koi8-r", "latin-1"), ("cp1252", "mac-roman"), ("mac-roman", "cp1252"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250")]
+CYRILLIC = ("cp1251", "koi8-r", "cp866")
 CHAINS = ["clean", "lost", *(f"utf-8>{e}" for e in SINGLE_BYTE + MULTI_BYTE), "utf-8>cp1252 x2", "utf-8>latin-1 x2", *(f"{a}>{b}" for a, b in LEGACY)]
+LATIN_CHAINS = {f"{a}>{b}" for a, b in LEGACY if a not in CYRILLIC}
 #: Records the classifier is fitted on at most; they are the ones of smallest text hash.
 TRAIN_ROWS = 600
 #: Size of the hashed bigram space.
@@ -165,8 +168,6 @@ def _mixed(text: str, start: int, end: int, new: str) -> bool:
 
 def _invert_legacy(text: str, right: str, wrong: str) -> tuple[str, int]:
     """Text of a one-byte encoding read with another one; taken whole, if it gives Cyrillic words in natural case."""
-    if right not in ("cp1251", "koi8-r", "cp866"):
-        return text, 0
     own = _bytes_of(wrong)
     total = 0
     pieces = re.split(r"([.!?\n]+)", text)
@@ -186,13 +187,54 @@ def _invert_legacy(text: str, right: str, wrong: str) -> tuple[str, int]:
     return ("".join(pieces), total) if total else (text, 0)
 
 
-def invert(text: str, chain: str) -> tuple[str, int]:
+_NEUTRAL = {i: " " for i in range(128) if not chr(i).isalpha()}
+_LATIN = re.compile(r"[A-Za-z]")
+
+
+def grams(text: str) -> list[str]:
+    """Each character beyond ASCII with its two neighbours, if a Latin letter is one of them; other ASCII counts as a space."""
+    t = f" {text} ".translate(_NEUTRAL)
+    found = [t[m.start() - 1 : m.end() + 1] for m in _ONE.finditer(t)]
+    return [g for g in found if _LATIN.search(g)]
+
+
+_ONE = re.compile(r"[^\x00-\x7f]")
+
+
+def _invert_latin(text: str, right: str, wrong: str, seen: frozenset[str]) -> tuple[str, int]:
+    """Latin text of a one-byte encoding read with another one, restored sentence by sentence where it decodes strictly
+    and turns character neighbourhoods that clean records don't hold into ones they hold, and none the other way."""
+    own = _bytes_of(wrong)
+    total = 0
+    pieces = re.split(r"([.!?\n]+)", text)
+    for i, piece in enumerate(pieces):
+        before = grams(piece)
+        if all(g in seen for g in before):
+            continue
+        try:
+            new = _HIGH.sub(lambda m: bytes([own[c] for c in m[0]]).decode(right), piece)
+        except (UnicodeDecodeError, KeyError):
+            continue
+        if not _PLAUSIBLE.fullmatch(new):
+            continue
+        after = grams(new)
+        good = sum(b in seen and a not in seen for a, b in zip(before, after, strict=False))
+        bad = sum(a in seen and b not in seen for a, b in zip(before, after, strict=False))
+        if len(after) == len(before) and good and not bad and 4 * sum(b not in seen for b in after) <= good:
+            pieces[i] = new
+            total += good
+    return ("".join(pieces), total) if total else (text, 0)
+
+
+def invert(text: str, chain: str, seen: frozenset[str] = frozenset()) -> tuple[str, int]:
     """Text with what the chain did undone, and the number of runs restored; (text, 0) if nothing decodes strictly."""
     if chain in ("clean", "lost"):
         return text, 0
     right, _, wrong = chain.partition(">")
     wrong, _, times = wrong.partition(" x")
-    return _invert_utf8(text, wrong, int(times or 1)) if right == "utf-8" else _invert_legacy(text, right, wrong)
+    if right == "utf-8":
+        return _invert_utf8(text, wrong, int(times or 1))
+    return _invert_legacy(text, right, wrong) if right in CYRILLIC else _invert_latin(text, right, wrong, seen)
 
 
 @cache
@@ -212,14 +254,17 @@ def _wide_alone() -> re.Pattern:
 _OWN_RUN = re.compile(r"[^\x00-\x7f�]{2,}|(?<![A-Za-z])[^\x00-\x7f�](?![A-Za-z])")
 
 
-def invertible(text: str) -> bool:
+def invertible(text: str, seen: frozenset[str] = frozenset()) -> bool:
     """Whether some chain can invert a place of the text, or bytes were lost; derived from the chains, it misses none."""
     if "�" in text or _sequences().search(text):
         return True
     if any(_invert_wide(m[0], e) for m in _wide_alone().finditer(text) for e in MULTI_BYTE):
         return True
     runs = _OWN_RUN.findall(text)
-    return sum(map(len, runs)) >= 4 and any(_invert_legacy(text, a, b)[1] for a, b in LEGACY)
+    if sum(map(len, runs)) >= 4 and any(_invert_legacy(text, a, b)[1] for a, b in LEGACY if a in CYRILLIC):
+        return True
+    # one-byte Latin text shows by what clean records don't hold
+    return not all(g in seen for g in grams(text)) and any(_invert_latin(text, a, b, seen)[1] for a, b in LEGACY if a not in CYRILLIC)
 
 
 def bigrams(text: str) -> np.ndarray:
@@ -229,8 +274,16 @@ def bigrams(text: str) -> np.ndarray:
     return ((a[:-1] * np.uint32(256) + a[1:]) * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64) % BUCKETS
 
 
-def train(clean: list[str]) -> np.ndarray:
-    """Log-likelihoods (chain x bucket) of the multinomial classifier, from clean records garbled by each chain."""
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihoods (chain x bucket) of the multinomial classifier and the character neighbourhoods of clean records."""
+
+    weights: np.ndarray
+    seen: frozenset[str]
+
+
+def train(clean: list[str]) -> Model:
+    """The model, from clean records garbled by each chain."""
     counts = np.full((len(CHAINS), BUCKETS), 0.05)
     for k, chain in enumerate(CHAINS):
         for text in clean:
@@ -239,27 +292,29 @@ def train(clean: list[str]) -> np.ndarray:
                 b = bigrams(g)
                 if len(b):
                     np.add.at(counts[k], b, 1.0)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    weights = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    return Model(weights, frozenset(g for text in clean for g in grams(text)))
 
 
-def diagnose(text: str, model: np.ndarray) -> tuple[str, str] | None:
+def diagnose(text: str, model: Model) -> tuple[str, str] | None:
     """``(chain, restored text)`` of a garbled record, or None for a clean one.
 
     Chains are tried in the classifier's order, those behind "clean" too (a short garbled place in a long clean
     record); only strict decodability decides. Restoring goes on until no chain applies, so chains may differ by place.
     """
-    if not invertible(text):
+    if not invertible(text, model.seen):
         return None
     b = bigrams(text)
     if not len(b):
         return None
     used, now = [], text
     for _ in range(4):
-        order = np.argsort(-model[:, b].sum(axis=1), kind="stable")
-        for k in order:
+        # the one-byte Latin chains come last: any other one says more about a place that it decodes
+        order = np.argsort(-model.weights[:, b].sum(axis=1), kind="stable")
+        for k in sorted(order, key=lambda k: CHAINS[k] in LATIN_CHAINS):
             if used and (">" not in CHAINS[k] or not CHAINS[k].startswith("utf-8>") or CHAINS[k][6:12] in ("cp866", "cp1251", "koi8-r", "cp1253")):
                 continue  # what is restored must not be taken for Cyrillic read wrongly again
-            new, n = invert(now, CHAINS[k])
+            new, n = invert(now, CHAINS[k], model.seen)
             if n:
                 used.append(CHAINS[k])
                 now = new
@@ -287,7 +342,7 @@ def suspicious(text: Column) -> Column:
     return text.rlike("[^\\x00-\\x7F]") & text.rlike(f"(?=[^\\x00-\\x7F])(?:{_ODD}|{_PAIR})")
 
 
-def fit(df: DataFrame, text_col: str, rows: int = TRAIN_ROWS) -> np.ndarray:
+def fit(df: DataFrame, text_col: str, rows: int = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` clean ones of the ``2 * rows`` non-ASCII records of smallest text hash (a bounded sample of all records)."""
     t = F.col(text_col)
     # only the texts with the smallest hashes are looked at for garbled characters, not all of them
@@ -302,10 +357,10 @@ def garbled(df: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -
     """``(rec_id, chain, restored)`` of every record with garbled characters, once an id.
 
     ``restored`` keeps U+FFFD where bytes were lost. Null ids and null or clean texts give no row, an empty table
-    none. The model (chains x buckets doubles, fixed size) is sent to the executors. Other columns are ignored.
+    none. The model (chains x buckets floats and the neighbourhoods of at most ``rows`` records) is sent to the executors. Other columns are ignored.
     """
     t = F.col(text_col)
-    model = df.sparkSession.sparkContext.broadcast(fit(df, text_col, rows).astype(np.float32))
+    model = df.sparkSession.sparkContext.broadcast(fit(df, text_col, rows))
 
     @F.pandas_udf(RESULT)
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -60,3 +60,13 @@ def test_the_quick_test_misses_nothing_a_chain_can_invert(chain):
         bad = X.garble(t, chain)
         assert X.invertible(bad) or not X.invert(bad, chain)[1]
         assert X.invertible(t) or not any(X.invert(t, c)[1] for c in X.CHAINS)
+
+
+@pytest.mark.parametrize("chain", sorted(X.LATIN_CHAINS))
+def test_one_byte_latin_chains_are_restored(model, chain):
+    for t in ["L'été où j'ai ramené le chien.", "Estábamos más unidos"]:
+        bad = X.garble(t, chain)
+        if bad != t:
+            assert X.diagnose(bad, model) == (chain, t)
+    if chain in ("cp1252>mac-roman", "cp1252>cp437", "cp1252>cp1251"):
+        assert X.diagnose(X.garble("Hier, l'été.", chain), model) == (chain, "Hier, l'été.")
