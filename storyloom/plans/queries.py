@@ -20,8 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = 500
 #: Weights and thresholds of the ordinal queries.
 ORDINAL_W, ORDINAL_THETA = [0.02, -1.5, 2.0], [0.2, 0.6, 1.1, 1.5, 2.0, 2.6, 3.0]
-#: Cells of the small grid in the model queries.
-CELL = {"max_feat": 60, "c": 0.1, "ngram": 1}
+#: The cell of ``roc_cell``, one of the grid.
+CELL = {"max_feat": 300, "c": 0.1, "ngram": 1}
 
 
 # --- views of the test tables ---
@@ -238,8 +238,7 @@ def roc_cell(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpoint(features.train_test_split(docs(spark, d).where("label is not null"), "example_id"))
-    cells = evaluate.param_grid(spark, 40, 60, 20, n_c=1, c_from=-1, c_to=-1, max_ngram=1)
-    return models.grid_search(cells, rows.where("is_train"), rows.where("not is_train"), "example_id", "doc", "label")
+    return models.grid_search(evaluate.param_grid(spark), rows.where("is_train"), rows.where("not is_train"), "example_id", "doc", "label")
 
 
 def model_mae(spark: SparkSession, d: str) -> DataFrame:

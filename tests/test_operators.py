@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import evaluate, features, models, ordinal, ranking, responses, scoring, segment, weights
+from storyloom.plans import queries
 
 
 def passages_of(spark, transcripts):
@@ -200,3 +201,22 @@ def test_shuffle_orders_are_permutations_and_differ():
     a, b = features.shuffle_orders(50)
     assert sorted(a) == sorted(b) == list(range(50)) and a != b
     assert features.shuffle_orders(50) == [a, b] and features.shuffle_orders(0) == [[], []]
+
+
+def test_grid_search_varies_every_parameter(spark):
+    texts = ["he went away alone", "she took the lead and won", "we sat and talked", "they lost the house again", "i decided to go on", "nothing was planned at all"]
+    rows = spark.createDataFrame([(i, texts[i % 6] + " " + texts[(i * 5 + i // 7) % 6], (i * 7 + i // 5) % 3 - 1) for i in range(120)], "id long, doc string, label int")
+    train, test = rows.where("id % 3 > 0"), rows.where("id % 3 = 0")
+    got = models.grid_search(evaluate.param_grid(spark, 8, 14, 6, n_c=2, c_from=-2, c_to=0, max_ngram=2), train, test, "id", "doc", "label").collect()
+    assert [(r.max_feat, r.c, r.ngram) for r in got] == [(m, c, n) for m in (8, 14) for c in (0.01, 1.0) for n in (1, 2)]
+    assert len({r.roc for r in got}) > 2
+    for r in (got[0], got[7]):
+        assert abs(1 - models.cell_roc(train, test, "id", "doc", "label", r.max_feat, r.c, r.ngram).first().loss - r.roc) < 0.01
+
+
+def test_registered_grid_is_whole(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.models, "grid_search", lambda cells, *_: seen.update(n=cells.count()))
+    monkeypatch.setattr(queries, "docs", lambda *_: spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "example_id long, label int, doc string"))
+    queries.grid_search(spark, "")
+    assert seen["n"] == 1600
