@@ -244,11 +244,11 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 def model_mae(spark: SparkSession, d: str) -> DataFrame:
     """Mean absolute error of the ordinal, logistic and ridge models over folds that hold every class."""
     rows = vectors(spark, d).withColumn("y", F.col("label") + 1)
-    folds = checkpoint(evaluate.shuffle_split(rows, "vec_id", 2))
+    folds = checkpoint(evaluate.shuffle_split(rows, "vec_id", 50))
     parts = []
     for r in evaluate.complete_folds(folds, "y").collect():
         train, test = folds.where(f"fold = {r.fold} and not is_test"), folds.where(f"fold = {r.fold} and is_test")
-        for name, p in (("ordinal", ordinal.OrdinalLogistic.fit(train, "x", "y", 3, max_iter=15).predict("x")), ("logistic", models.OneVsRest.fit(train, "x", "y").predict("x")), ("ridge", models.Ridge.fit(train, "x", "y").predict("x", rounded=True))):
+        for name, p in (("ordinal", ordinal.OrdinalLogistic.fit(train, "x", "y", 3).predict("x")), ("logistic", models.OneVsRest.fit(train, "x", "y").predict("x")), ("ridge", models.Ridge.fit(train, "x", "y").predict("x", rounded=True))):
             parts.append(test.select(F.lit(name).alias("model"), "fold", "y", p.cast("double").alias("p")))
     return evaluate.mean_absolute_error(union_all(parts), ["model"], "y", "p")
 

@@ -220,3 +220,26 @@ def test_registered_grid_is_whole(spark, monkeypatch):
     monkeypatch.setattr(queries, "docs", lambda *_: spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "example_id long, label int, doc string"))
     queries.grid_search(spark, "")
     assert seen["n"] == 1600
+
+
+def test_model_mae_takes_all_folds_and_fits_fully(spark, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def split(rows, id_col, folds):
+        seen["folds"] = folds
+        return shuffle_split(rows, id_col, 1)
+
+    def fit(*args, **kwargs):
+        seen["fit"] = kwargs
+        raise Stop
+
+    shuffle_split = evaluate.shuffle_split
+    monkeypatch.setattr(queries, "vectors", lambda *_: spark.createDataFrame([(i, [float(i)], i % 3 - 1) for i in range(30)], "vec_id long, x array<double>, label int"))
+    monkeypatch.setattr(queries.evaluate, "shuffle_split", split)
+    monkeypatch.setattr(queries.ordinal.OrdinalLogistic, "fit", fit)
+    with pytest.raises(Stop):
+        queries.model_mae(spark, "")
+    assert seen == {"folds": 50, "fit": {}}
