@@ -1,8 +1,10 @@
 """Sentence boundaries across languages and scripts (problem 6).
 
-A pushdown automaton reads each text once over its few structural characters: openers push, and nothing inside a
-quotation or bracket that closes again ends the sentence around it; terminators, line breaks and the gaps of
-scripts without marks are decided from the abbreviation trie and what follows.
+A pushdown automaton reads each text once over its few structural characters. Opening quotations and brackets push a
+frame, closing ones pop theirs; the boundaries seen since the push are kept in the frame, given up when it is popped
+(what is inside a running sentence does not end it) and released at the end of the text if it never closes. A second
+stack holds the list levels (indent, marker style, number), which tell a list marker from a number with a period.
+Terminators, line breaks and the gaps of scripts without marks are decided from the abbreviation trie and what follows.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ OPEN_ENDED = set(
 )
 
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "(": ")", "（": "）", "[": "]", "{": "}", "【": "】", "‘": "’", '"': '"', "<": ">"}
+_BRACKETS = "([{<（【"
+_POPS = {c for closers in _PAIRS.values() for c in closers}
 _CLOSERS = "\"”»›’'」』》)）]}】"
 _QUOTES = "\"”“»›’'」』"
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3}|-\d{1,2})?"
@@ -52,7 +56,12 @@ _NOTE = r"\(\([^()\n]{0,60}\)\)|\[[^\W\d][^\]\n@]{0,40}\]|\{[^\W\d][^}\n@]{0,40}
 _LABELS = r"(?:THE INTERVIEWE[RE]|The Interviewe[re]|INTERVIEWE[RE]|Interviewe[re]|RESPONDENT|Respondent|PARTICIPANT|Participant|ANSWER|Answer|(?:FE)?MALE SPEAKER|INT|Int|Resp|I|R|Q|A)\.?(?: ?\d)?\s?[:：]"
 #: Spaces, marks and notes between two sentences; group 1 is a speaker label.
 SKIP = re.compile(rf"(?:\s+|{_MARK}|{_NOTE}|(?<=[\])>#\d\s])[-–—](?=\s))*({_LABELS})?\s*")
-EVENT = re.compile(r"""[“„«‹「『《(（\[{【‘"<]|[.!?。！？｡।॥؟۔…‽]+|\n|ã[€\x80][‚\x82]|ï¼[\x81Ÿ\x9f]|à¥¤|(?<=[฀-๿ຠ-ໟက-႟ក-៿])\s+(?=[฀-๿ຠ-ໟက-႟ក-៿#<(\[A-Z])""")
+_EVENTS = r"""[“”„«»‹›「」『』《》()（）\[\]{}【】‘"<>%s]|[.!?。！？｡।॥؟۔…‽]+|\n|ã[€\x80][‚\x82]|ï¼[\x81Ÿ\x9f]|à¥¤|(?<=[฀-๿ຠ-ໟက-႟ក-៿])\s+(?=[฀-๿ຠ-ໟက-႟ក-៿#<(\[A-Z])"""
+#: The structural characters; the apostrophe is one only where a text holds a quotation mark that it closes.
+EVENT, EVENT_SINGLE = re.compile(_EVENTS % ""), re.compile(_EVENTS % "’")
+_TERMINATORS = ".!?。！？｡।॥؟۔…‽"
+#: A list marker at the start of a line: number, letter or bullet.
+MARKER = re.compile(r"([ \t]*)(?:\(?(\d{1,2}|[a-z])([.)])|([•·▪◦]))[ \t]+(?=\S)")
 DAY = re.compile(r"\b[Aa]m \d{1,2}$")
 WORD = re.compile(r"[\w’'\-]+")
 _NO_GAP = set("。！？｡।॥؟۔")
@@ -209,81 +218,136 @@ def _line_ends(text: str, i: int) -> bool:
     return not (w and w[-1].lower().lstrip("(“„«\"'") in OPEN_ENDED)
 
 
+def _list_item(text: str, at: int, levels: list[tuple[int, str, int]]) -> int:
+    """End of the list marker at the line start ``at``, or -1; ``levels`` is brought to the item's level.
+
+    A marker goes on with a level (the levels inside it end) or opens one: a bullet, the first number or letter, or
+    any number where no level is open.
+    """
+    m = MARKER.match(text, at)
+    if m is None:
+        return -1
+    indent = len(m[1])
+    style = m[4] or ("1" if m[2].isdigit() else "a") + m[3]
+    number = 0 if m[4] else int(m[2]) if m[2].isdigit() else ord(m[2]) - 96
+    for k in range(len(levels) - 1, -1, -1):
+        _, own, last = levels[k]
+        if own == style and number == (0 if m[4] else last + 1):
+            del levels[k:]
+            levels.append((indent, style, number))
+            return m.end()
+    if number <= 1 or (not levels and style[0] == "1"):
+        w = WORD.match(text, m.end())
+        if w and w[0].lower() in MONTHS:
+            return -1  # a day of a month
+        while levels and levels[-1][0] > indent:
+            levels.pop()
+        levels.append((indent, style, number))
+        return m.end()
+    return -1
+
+
+class _Stack:
+    """Frames (closing characters, opening character, its place, boundaries since); the lowest one is the text itself."""
+
+    def __init__(self):
+        self.frames: list[tuple[str, str, int, list[int]]] = [("", "", 0, [])]
+        self.awaited: dict[str, int] = {}
+
+    def push(self, c: str, at: int) -> None:
+        self.frames.append((_PAIRS[c], c, at, []))
+        for x in _PAIRS[c]:
+            self.awaited[x] = self.awaited.get(x, 0) + 1
+
+    def pop(self, c: str) -> tuple | None:
+        """The frame that ``c`` closes, popped with the frames above it that never closed; None if there is none."""
+        if not self.awaited.get(c):
+            return None
+        while True:
+            frame = self.frames.pop()
+            for x in frame[0]:
+                self.awaited[x] -= 1
+            if c in frame[0]:
+                return frame
+
+    def opens(self, text: str, i: int) -> bool:
+        """Whether the straight quotation mark ``text[i]`` opens: by the characters beside it, else by what is open."""
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        left = not before or before.isspace() or before in "([{<«“„‘—–-/:¿¡"
+        right = not after or after.isspace() or after in ".,;:!?)]}>»”…—–-"
+        return left if left != right else not self.awaited.get('"')
+
+
 def sentence_ends(text: str) -> list[int]:
     """Ends of the sentences: characters from the start of the text through each sentence's last non-space character."""
     n = len(text.rstrip())
     if n == 0:
         return []
-    ends: list[int] = []
     start = len(text) - len(text.lstrip())
-    pos = 0
-    search = EVENT.search
+    stack = _Stack()
+    levels: list[tuple[int, str, int]] = []
+    pos = max(start, _list_item(text, start - len(text[:start].rpartition("\n")[2]), levels))
+    search = (EVENT_SINGLE if "‘" in text else EVENT).search
     while True:
         m = search(text, pos, n)
         if m is None:
             break
         i, j = m.span()
         c = text[i]
-        if c in _PAIRS:
-            # push; the matching pop is looked up, what lies between is inside. An opener that never closes is ignored.
-            pos = j
-            if c == "‘" and i and text[i - 1].isalnum():
-                continue
-            close = -1
-            for x in _PAIRS[c]:
-                f = text.find(x, j, min(n, j + 600))
-                if f > 0 and (close < 0 or f < close):
-                    close = f
-            if close > 0 and c == "‘":
-                while 0 < close < n - 1 and text[close + 1].isalnum():
-                    close = text.find("’", close + 1, min(n, j + 600))
-            if close < 0:
+        pos = j
+        if c in _PAIRS or c in _POPS:
+            if i and text[i - 1] == "€" and c in "“”‘’":
+                continue  # a part of a garbled mark
+            frame = None
+            if c == "’" and text[j : j + 1].isalnum():
                 continue
-            if c in "(（":
-                # nested parentheses
-                depth, f = 1, j
-                while f < n and depth and f < j + 600:
-                    depth += (text[f] in "(（") - (text[f] in ")）")
-                    f += 1
-                close = f - 1 if depth == 0 else close
-            pos = close + 1
-            if c in "([{<（":
+            if c in _POPS and (c != '"' or not stack.opens(text, i)):
+                frame = stack.pop(c)
+            if frame is None:
+                if c in _PAIRS and not (c == "‘" and i and text[i - 1].isalnum()) and (c != '"' or stack.opens(text, i)):
+                    stack.push(c, i)
                 continue
-            inner = text[close - 1]
-            if inner in ".!?。！？｡।॥؟۔…‽" and close > j:
-                b = close
-                while b > j and text[b - 1] in ".!?。！？｡।॥؟۔…‽":
-                    b -= 1
-                if pos < n and _ends_here(text, b, close, pos):
-                    ends.append(pos)
+            b = i
+            while b > frame[2] + 1 and text[b - 1] in _TERMINATORS:
+                b -= 1
+            if b < i and frame[1] not in _BRACKETS and j < n and _ends_here(text, b, i, j):
+                stack.frames[-1][3].append(j)
             continue
+        ends = stack.frames[-1][3]
         if c == "\n":
-            pos = j
-            if i > start and not (ends and not text[ends[-1] : i].strip()) and _line_ends(text, i):
+            marker = _list_item(text, j, levels)
+            if marker > 0:
+                pos = marker
+                if text[start:i].strip():
+                    ends.append(len(text[:i].rstrip()))
+            elif i > start and not (ends and not text[ends[-1] : i].strip()) and _line_ends(text, i):
                 ends.append(len(text[:i].rstrip()))
             continue
         if c.isspace():  # a gap in a script without marks
-            pos = j
-            ahead = SKIP.match(text, i)
-            if ahead[1] or "A" <= text[j] <= "Z" and text[j - 1] != "\n":
-                if ahead[1]:
-                    ends.append(i)
-                continue
-            ends.append(i)
+            if SKIP.match(text, i)[1] or not ("A" <= text[j] <= "Z" and text[j - 1] != "\n"):
+                ends.append(i)
             continue
         if c in "ãïà":  # a garbled full stop of a script without spaces
-            pos = j
             if j < n:
                 ends.append(j)
             continue
-        k = j
+        k, closed = j, None
         while k < n and text[k] in _CLOSERS:
+            if text[k] in _POPS:
+                if text[k] == '"' and stack.opens(text, k):
+                    break
+                frame = stack.pop(text[k])
+                closed = closed or (frame and frame[1])
+                if frame and frame[1] not in _BRACKETS:
+                    k += 1
+                    break
             k += 1
         pos = k
         if k >= n:
             break
-        if _ends_here(text, i, j, k):
-            ends.append(k)
+        if not (closed and closed in _BRACKETS) and _ends_here(text, i, j, k):
+            stack.frames[-1][3].append(k)
+    ends = [e for frame in stack.frames for e in frame[3]]
     # what follows the last boundary is a sentence only if it holds a letter or digit
     if ends:
         tail = SKIP.sub("", text[ends[-1] : n]) if ends[-1] < n else ""

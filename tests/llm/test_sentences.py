@@ -58,3 +58,35 @@ def test_table(spark):
     units = {(r.rec_id, r.sent_no, r.sentence) for r in S.sentences(df, "id", "text").collect()}
     assert units == {(1, 0, "Ab cd."), (1, 1, "Ef gh."), (4, 0, "x")}
     assert S.sentence_offsets(df.where("false"), "id", "text").count() == 0
+
+
+def test_quotations_of_any_length_stay_in_their_sentence():
+    for repeat in (3, 30, 300):
+        inner = "We went there. " * repeat
+        for opening, closing in ("“”", '""', "«»", "„“", "「」"):
+            text = f"She wrote {opening}{inner.strip()}{closing} and left. I know."
+            assert len(cut(text)) == 2, (opening, repeat)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('"she wrote (see "x. Y.") and left. I know"', ['"she wrote (see "x. Y.") and left. I know"']),
+        ('He said "Go. (I had “no. Yes.” idea.) Stop." to me. Then he left.', ['He said "Go. (I had “no. Yes.” idea.) Stop." to me.', "Then he left."]),
+        ("“Outer ‘in. Side.’ still.” Then more.", ["“Outer ‘in. Side.’ still.”", "Then more."]),
+        ("It’s ‘so. It’s not.’ he thinks. Well.", ["It’s ‘so. It’s not.’ he thinks.", "Well."]),
+        ("“It never closes. We left. We came back.", ["“It never closes.", "We left.", "We came back."]),
+        ("(It never closes. “But this. Does.” anyway. Yes.", ["(It never closes.", "“But this. Does.” anyway.", "Yes."]),
+        ('A 5" board. A 6" nail. Done.', ['A 5" board.', 'A 6" nail.', "Done."]),
+        ("1. First item is here.\n2. Second item\n  a) inner part\n  b) more of it\n3. Third one. It goes on.", ["1. First item is here.", "2. Second item", "a) inner part", "b) more of it", "3. Third one.", "It goes on."]),
+        ("We bought:\n• bread\n• milk\nThen home.", ["We bought:", "• bread", "• milk", "Then home."]),
+        ("It ended in\n1987. Then we left.", ["It ended in\n1987.", "Then we left."]),
+    ],
+)
+def test_nesting_and_lists(text, want):
+    assert cut(text) == want
+
+
+def test_many_openers_stay_linear():
+    assert S.sentence_ends("([{" * 30_000 + "x. Y.") == [90_002, 90_005]
+    assert S.sentence_ends("(" * 50_000 + "x. " + "]”" * 50_000)[-1] == 150_003
