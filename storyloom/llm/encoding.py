@@ -1,8 +1,10 @@
 """Garbled text from wrong character encoding (problem 3).
 
-A multinomial classifier on hashed byte bigrams, trained on synthetically garbled records, ranks the encoding
-chains for a suspicious record; the best-ranked chain whose inversion decodes strictly and gives plausible
-characters restores the garbled runs. Bytes that were lost (U+FFFD) can't be restored and are only reported.
+A multinomial classifier on hashed byte bigrams, trained on synthetically garbled records, predicts the encoding
+chain of every sentence that some chain could invert, from each of its runs beyond ASCII and from all of them. "Clean"
+is one of its classes: only chains it finds likelier than that are inverted, likeliest first, and the first whose
+inversion decodes strictly and gives plausible characters restores the sentence. Bytes that were lost (U+FFFD) can't
+be restored and are only reported.
 """
 
 from __future__ import annotations
@@ -267,13 +269,16 @@ def invertible(text: str, seen: frozenset[str] = frozenset()) -> bool:
     return not all(g in seen for g in grams(text)) and any(_invert_latin(text, a, b, seen)[1] for a, b in LEGACY if a not in CYRILLIC)
 
 
-def bigrams(text: str) -> np.ndarray:
-    """Hashed byte bigrams of the record's non-ASCII runs, each with one character around it."""
-    raw = b"\x00".join(text[max(0, m.start() - 1) : m.end() + 1].encode("utf-8", "replace") for m in _WIDE.finditer(text))
+def _hashed(raw: bytes) -> np.ndarray:
     a = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
     return ((a[:-1] * np.uint32(256) + a[1:]) * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64) % BUCKETS
 
 
+def run_bigrams(text: str) -> list[np.ndarray]:
+    """Hashed byte bigrams of each run beyond ASCII, with one character around it."""
+    return [_hashed(text[max(0, m.start() - 1) : m.end() + 1].encode("utf-8", "replace")) for m in _WIDE.finditer(text)]
+
+
 @dataclass(frozen=True)
 class Model:
     """Log-likelihoods (chain x bucket) of the multinomial classifier and the character neighbourhoods of clean records."""
@@ -281,73 +286,79 @@ class Model:
     weights: np.ndarray
     seen: frozenset[str]
 
+    def likelier(self, text: str) -> list[int]:
+        """Chains likelier than "clean" for one of the text's runs or for all of them, the likeliest of the whole first."""
+        runs = run_bigrams(text)
+        if not runs:
+            return []
+        each = np.array([self.weights[:, b].sum(axis=1) for b in runs])
+        total = each.sum(axis=0)
+        named = (each > each[:, :1]).any(axis=0) | (total > total[0])
+        return [k for k in np.argsort(-total, kind="stable").tolist() if named[k]]
+
+
+#: Characters that records of any kind may hold: every chain is trained on each of them, between letters and alone.
+INVENTORY = "".join(map(chr, [*range(0xA1, 0x180), *range(0x391, 0x3CA), *range(0x401, 0x460), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x201E, 0x2020, 0x2022, 0x2026, 0x2030, 0x2039, 0x203A, 0x20AC, 0x2122]))
+#: Weight of the inventory against the records.
+INVENTORY_WEIGHT = 0.1
+
 
 def train(clean: list[str]) -> Model:
     """The model, from clean records garbled by each chain."""
     counts = np.full((len(CHAINS), BUCKETS), 0.05)
+    alone = [f"a{c}e {c} {c}n s{c}" for c in INVENTORY if c.isprintable()]
     for k, chain in enumerate(CHAINS):
-        for text in clean:
-            g = garble(text, chain)
-            if chain == "clean" or g != text:
-                b = bigrams(g)
-                if len(b):
-                    np.add.at(counts[k], b, 1.0)
+        for texts, weight in ((clean, 1.0), (alone, INVENTORY_WEIGHT)):
+            for text in texts:
+                g = garble(text, chain)
+                if chain == "clean" or g != text:
+                    for b in run_bigrams(g):
+                        np.add.at(counts[k], b, weight)
     weights = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
     return Model(weights, frozenset(g for text in clean for g in grams(text)))
 
 
-def diagnose(text: str, model: Model) -> tuple[str, str] | None:
-    """``(chain, restored text)`` of a garbled record, or None for a clean one.
+_SENTENCE = re.compile(r"([.!?\n]+)")
 
-    Chains are tried in the classifier's order, those behind "clean" too (a short garbled place in a long clean
-    record); only strict decodability decides. Restoring goes on until no chain applies, so chains may differ by place.
-    """
-    if not invertible(text, model.seen):
-        return None
-    b = bigrams(text)
-    if not len(b):
-        return None
-    used, now = [], text
-    for _ in range(4):
+
+def _restore(piece: str, model: Model) -> tuple[str, list[str]]:
+    """A sentence with what the predicted chains did undone, and those chains; every step makes it shorter or is the first."""
+    used: list[str] = []
+    while True:
         # the one-byte Latin chains come last: any other one says more about a place that it decodes
-        order = np.argsort(-model.weights[:, b].sum(axis=1), kind="stable")
-        for k in sorted(order, key=lambda k: CHAINS[k] in LATIN_CHAINS):
-            if used and (">" not in CHAINS[k] or not CHAINS[k].startswith("utf-8>") or CHAINS[k][6:12] in ("cp866", "cp1251", "koi8-r", "cp1253")):
+        for k in sorted(model.likelier(piece), key=lambda k: CHAINS[k] in LATIN_CHAINS):
+            chain = CHAINS[k]
+            if used and (not chain.startswith("utf-8>") or chain[6:12] in ("cp866", "cp1251", "koi8-r", "cp1253")):
                 continue  # what is restored must not be taken for Cyrillic read wrongly again
-            new, n = invert(now, CHAINS[k], model.seen)
+            new, n = invert(piece, chain, model.seen)
             if n:
-                used.append(CHAINS[k])
-                now = new
+                used.append(chain)
+                piece = new
                 break
         else:
-            break
-        b = bigrams(now)
-        if not len(b):
-            break
-    if "�" in text:
-        used.append("lost")
-    return ("; ".join(used), now) if used else None
-
+            return piece, used
 
-# Characters of clean text next to which nothing is suspicious, and pairs that are.
-_ODD = "[\\x80-\\x9f\\u00ad¤¦¨©¬®¯±²³´µ¶¸¹¼¾ƒ†‡ˆ‰Š‹ŒŽ™š›œžŸÐØ×÷ÞþðÿĀ-ĽĿ-ŁŃ-őŔ-ʯˇ˘-˝Ͱ-ϿЂЃѓЉЊЌЋЏђљњќћџЎўЈЅѕј‚†‡•‰‹›₣₤₧₪⁄←-⇿∀-⋿⌀-⏿─-◿★-➿㈀-㏿ㄅ-ㄯ︐-﹏｡-ﾟ\\uE000-\\uF8FF�]"
-_PAIR = "[À-ßà-ÿ][\\u00a0-¿‘-”–—…€]|[À-ÿ][À-Þ]|[а-яёіїєґ][А-ЯЁІЇЄҐ]{2}|[РСВГ][\\u00a0-¿°-¿ЎўЈҐЁЄЇІіґёєјѕїа-яА-Я№‘-”–—…€]{1}[РСВГ]|вЂ|[ВГ][\\u00a0-¿]|[锛銆鈥茅锟縺繧蜷螟譛莠荳逕陦鬘鍜鐨勫浜鎴涓]|[\\u4e00-\\u9fff][\\u00c0-\\u00ff]|[\\u0400-\\u04ff][a-z]"
 
-
-def suspicious(text: Column) -> Column:
-    """Cheap test, on the JVM side, of what is not taken for a clean record to train on: odd characters and pairs of any chain.
-
-    It misses garbled records, so it does not decide what the classifier looks at."""
-    # every alternative begins with a non-ASCII character: the lookahead passes over ASCII at the cost of one comparison
-    return text.rlike("[^\\x00-\\x7F]") & text.rlike(f"(?=[^\\x00-\\x7F])(?:{_ODD}|{_PAIR})")
+def diagnose(text: str, model: Model) -> tuple[str, str] | None:
+    """``(chains, restored text)`` of a garbled record, or None for a clean one; chains may differ by place."""
+    if not invertible(text, model.seen):
+        return None
+    used: list[str] = []
+    pieces = _SENTENCE.split(text)
+    for i, piece in enumerate(pieces):
+        if not piece.isascii():
+            pieces[i], chains = _restore(piece, model)
+            used += chains
+    if "�" in text:
+        used.append("lost")
+    return ("; ".join(dict.fromkeys(used)), "".join(pieces)) if used else None
 
 
 def fit(df: DataFrame, text_col: str, rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` clean ones of the ``2 * rows`` non-ASCII records of smallest text hash (a bounded sample of all records)."""
+    """Train on at most ``rows`` of the ``2 * rows`` non-ASCII records of smallest text hash that no chain can invert (a bounded sample of all records)."""
     t = F.col(text_col)
-    # only the texts with the smallest hashes are looked at for garbled characters, not all of them
-    sample = df.where(t.rlike("[^\\x00-\\x7F]")).select(t.alias("text")).orderBy(F.xxhash64(t), t).limit(2 * rows).where(~suspicious(F.col("text")))
-    return train([r.text for r in sample.collect()][:rows])
+    sample = df.where(t.rlike("[^\\x00-\\x7F]")).select(t.alias("text")).orderBy(F.xxhash64(t), t).limit(2 * rows)
+    return train([r.text for r in sample.collect() if not invertible(r.text)][:rows])
 
 
 RESULT = T.StructType([T.StructField("chain", T.StringType()), T.StructField("restored", T.StringType())])

@@ -70,3 +70,19 @@ def test_one_byte_latin_chains_are_restored(model, chain):
             assert X.diagnose(bad, model) == (chain, t)
     if chain in ("cp1252>mac-roman", "cp1252>cp437", "cp1252>cp1251"):
         assert X.diagnose(X.garble("Hier, l'été.", chain), model) == (chain, "Hier, l'été.")
+
+
+def test_the_classifier_decides(model):
+    import numpy as np
+
+    bad = [X.garble(t, c) for c in ("utf-8>cp1252", "utf-8>cp1251", "utf-8>mac-roman", "utf-8>cp1252 x2", "cp1252>mac-roman") for t in CLEAN[:4]] + [X.garble(CLEAN[4], c) for c in ("koi8-r>cp1251", "cp1251>cp1252")]
+    restored = lambda m: sum((X.diagnose(b, m) or ("", ""))[1] in CLEAN for b in bad)
+    nothing = X.Model(np.zeros_like(model.weights), model.seen)
+    turned = X.Model(np.roll(model.weights, 7, axis=0), model.seen)
+    assert restored(model) >= 0.9 * len(bad) and restored(nothing) == 0 and restored(turned) <= 0.8 * len(bad)
+
+
+def test_every_garbled_sentence_is_restored(model):
+    parts = [(t, c) for t in CLEAN[:3] for c in ("utf-8>cp1252", "utf-8>mac-roman", "utf-8>cp1251", "utf-8>cp437", "utf-8>latin-1")]
+    text = " ".join(X.garble(t, c) for t, c in parts)
+    assert X.diagnose(text, model)[1] == " ".join(t for t, _ in parts)
