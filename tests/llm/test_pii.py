@@ -1,12 +1,12 @@
 import pytest
 
-from storyloom.llm import pii, pii_train
+from storyloom.llm import pii
 from storyloom.llm.boost import Boosted
 
 
 @pytest.fixture(scope="module")
 def detector():
-    return pii.Detector(pii_train.sentences())
+    return pii.detector_of()
 
 
 def test_boosted_learns_an_interaction():
@@ -15,15 +15,50 @@ def test_boosted_learns_an_interaction():
     assert model((3, 0)) > 0 > model((3, 3)) and model((0, 0)) < 0
 
 
+# sentences of their own, none of them a frame of the training grammar
+HELD_OUT = [
+    ("On Tuesday evening our pianist, Gwendolyn Hartmann, broke a string.", {"person"}),
+    ("The whole choir had to wait because Tobiah overslept.", {"person"}),
+    ("Rosalind's garden won a prize in June.", {"person"}),
+    ("We named the baby after my uncle Fitzgerald.", {"person"}),
+    ("Mrs. Delacroix taught us how to knit.", {"person"}),
+    ("I borrowed a ladder from Prof. Nakamura and fell off.", {"person"}),
+    ("Her physician, Dr Okonkwo, retired last year.", {"person"}),
+    ("Our goalkeeper Mateusz broke his arm.", {"person"}),
+    ("Emmeline told me to keep the change.", {"person"}),
+    ("Herr Brandstätter verkaufte uns den Wagen.", {"person"}),
+    ("Madame Lefebvre nous apportait du pain.", {"person"}),
+    ("La señora Ibarra vendía flores.", {"person"}),
+    ("Моя сестра Людмила уехала в июне.", {"person"}),
+    ("You may ring me on 020 7946 0958 before nine.", {"phone"}),
+    ("His mobile was +49 171 5550123 in those days.", {"phone"}),
+    ("The clerk typed my social security number, 078-05-1120, twice.", {"id_number"}),
+    ("My passport L8988901C had expired.", {"id_number"}),
+    ("For years we rented 17 Cedar Hollow Road.", {"address"}),
+    ("The shop stood at Lindenstraße 44 until the flood.", {"address"}),
+    ("Mail it to helen.o_connor@library.example.org by Friday.", {"email"}),
+    ("Reach us under support [at] clinic [dot] example, thanks.", {"email"}),
+    ("The harvest festival in Ravenna was loud that autumn.", set()),
+    ("We drove to Lake Geneva and back in one day.", set()),
+    ("Serial 4471-2291-07 was stamped on the boiler.", set()),
+    ("Flight 2207 to Helsinki left at 6:45 on Sunday.", set()),
+    ("Patience and courage were all they asked of us.", set()),
+    ("Die Bäckerei am Markt verkaufte warmes Brot.", set()),
+    ("Los vecinos trajeron comida el domingo.", set()),
+    ("It rained on Maple Avenue for an hour.", set()),
+    ("In 1987 or 1988 the mill had 43 workers.", set()),
+]
+
+
 def test_held_out_sentences(detector):
     hit = miss = extra = 0
-    for text, spans in pii_train.sentences(1500, seed=99):
+    wrong = []
+    for text, want in HELD_OUT:
         found = {t for *_, t in detector.spans(text)}
-        want = {t for *_, t in spans}
-        hit += len(found & want)
-        miss += len(want - found)
-        extra += len(found - want)
-    assert hit / (hit + miss) > 0.97 and hit / (hit + extra) > 0.97
+        hit, miss, extra = hit + len(found & want), miss + len(want - found), extra + len(found - want)
+        if found != want:
+            wrong.append((text, found))
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + extra) >= 0.9, wrong
 
 
 @pytest.mark.parametrize(
@@ -33,11 +68,27 @@ def test_held_out_sentences(detector):
         ("Call me at (740) 555-0180 after six.", "Call me at [PHONE] after six."),
         ("My social security number was 961-17-8629 and they lost it.", "My social security number was [ID_NUMBER] and they lost it."),
         ("The lot number 961-44-1200 was on the crate.", "The lot number 961-44-1200 was on the crate."),
-        ("We lived at 458 Mistral Lane back then.", "We lived at [ADDRESS] back then."),
         ("We walked down Tarn Avenue for 61 minutes.", "We walked down Tarn Avenue for 61 minutes."),
-        ("My cousin Imke picked up the phone.", "My cousin [PERSON] picked up the phone."),
-        ("I had hope and grace and will, mark my words.", "I had hope and grace and will, mark my words."),
-        ("It was Mrs. Korerrez who (laughs) opened the door.", "It was Mrs. [PERSON] who (laughs) opened the door."),
+        ("Émile Durand came in.", "[PERSON] came in."),
+        ("I told Ángela about it.", "I told [PERSON] about it."),
+        ("My friend Óscar Ibáñez laughed.", "My friend [PERSON] laughed."),
+        ("Łukasz Kowalski called.", "[PERSON] called."),
+        ("With Šárka Nováková I felt safe.", "With [PERSON] I felt safe."),
+        ("Björn Åkesson was my boss.", "[PERSON] was my boss."),
+        ("Иван Петров пришёл.", "[PERSON] пришёл."),
+        ("我叫王小明。", "我叫[PERSON]。"),
+        ("Mr. O'Brien nodded.", "Mr. [PERSON] nodded."),
+        ("I met McAllister there.", "I met [PERSON] there."),
+        ("Zainab and Tunde came.", "[PERSON] and [PERSON] came."),
+        ("My boss was Ana Maria da Silva Pereira Costa.", "My boss was [PERSON]."),
+        ("It was signed by K. Varnholt, in pencil.", "It was signed by [PERSON], in pencil."),
+        ("We lived at Via Roma 12.", "We lived at [ADDRESS]."),
+        ("He moved to Kerkstraat 15.", "He moved to [ADDRESS]."),
+        ("She lives at ul. Marszałkowska 10.", "She lives at [ADDRESS]."),
+        ("I lived at 12 Baker Street.", "I lived at [ADDRESS]."),
+        ("I lived at 12 Baker St. in spring.", "I lived at [ADDRESS] in spring."),
+        ("My Aadhaar is 1234 5678 9012.", "My Aadhaar is [ID_NUMBER]."),
+        ("The Great Hall of the Old Mill was cold.", "The Great Hall of the Old Mill was cold."),
         ("", ""),
     ],
 )
@@ -45,16 +96,27 @@ def test_examples(detector, text, redacted):
     assert pii.redact(text, detector.spans(text)) == redacted
 
 
+def test_the_surest_of_overlapping_spans_wins():
+    d = object.__new__(pii.Detector)
+    scores = {"email": 1.0, "phone": 1.0, "id_number": 2.0, "address": 1.0, "person": 1.0}
+    d.models = {t: (lambda f, s=s: s) for t, s in scores.items()}
+    assert [t for *_, t in d.spans("My number is 961-17-8629 here.")] == ["id_number"]
+
+
 def test_noise_inside_a_span_keeps_offsets(detector):
     text = "My cell is 460 555 [pause] 0150 now."
     (i, j, t), = detector.spans(text)
     assert t == "phone" and text[i:j].startswith("460") and text[i:j].endswith("0150")
 
 
+def test_long_runs_of_capitals_are_read_in_time(detector):
+    assert pii.redact("THEY ALL SHOUTED " * 20_000, detector.spans("THEY ALL SHOUTED " * 20_000)).startswith("THEY")
+
+
 def test_table(spark):
     rows = [(1, "Write to a.b@example.org now.", "z"), (1, "Write to a.b@example.org now.", "z"), (2, None, "z"), (None, "x", "z"), (3, "", "z"), (4, "nothing " * 30_000, "z")]
     df = spark.createDataFrame(rows, "id long, text string, r string")
-    got = {r.rec_id: r for r in pii.find_pii(df, "id", "text", rows=1500).collect()}
+    got = {r.rec_id: r for r in pii.find_pii(df, "id", "text").collect()}
     assert got[1].pii_types == ["email"] and got[1].redacted == "Write to [EMAIL] now." and got[3].redacted == "" and set(got) == {1, 3, 4}
-    assert {tuple(r) for r in pii.find_pii(df, "id", "text", keep_text=False, rows=1500).collect()} == {(1, "email")}
-    assert pii.find_pii(df.where("false"), "id", "text", rows=1500).count() == 0
+    assert {tuple(r) for r in pii.find_pii(df, "id", "text", keep_text=False).collect()} == {(1, "email")}
+    assert pii.find_pii(df.where("false"), "id", "text").count() == 0
