@@ -52,7 +52,7 @@ WORD_NAMES = set("grace will hope mark faith joy rose bill frank dawn drew jack
 
 # Words of closed classes and other words that tell about the words beside them, as "class: words".
 _CLASSES = """
-kin: cousin cousine primo prima kid uncle aunt brother sister neighbour neighbor friend colleague coworker roommate boss manager coach teacher nurse mentor landlord boyfriend girlfriend wife husband son daughter father mother dad mom grandfather grandmother classmate therapist student kollege kollegin freund freundin bruder schwester nachbar nachbarin chef lehrer lehrerin tante onkel ami amie frère soeur collègue voisin voisine professeur cuisine amigo amiga hermano hermana vecino vecina profesor profesora colega jefe irmão irmã vizinho vizinha professora chefe amico amica vriend vriendin kolega друг подруга брат сестра коллега тётя дядя
+kin: señor señora senhor senhora signor signora madame monsieur doctor doctora cousin cousine primo prima kid uncle aunt brother sister neighbour neighbor friend colleague coworker roommate boss manager coach teacher nurse mentor landlord boyfriend girlfriend wife husband son daughter father mother dad mom grandfather grandmother classmate therapist student kollege kollegin freund freundin bruder schwester nachbar nachbarin chef lehrer lehrerin tante onkel ami amie frère soeur collègue voisin voisine professeur cuisine amigo amiga hermano hermana vecino vecina profesor profesora colega jefe irmão irmã vizinho vizinha professora chefe amico amica vriend vriendin kolega друг подруга брат сестра коллега тётя дядя
 named: named name called heißt hieß heiße s'appelle s'appelait appelle appelait llama llamaba llamo chama chamava chamo chiama heet nazywa зовут
 article: im am zum zur ins vom beim ans the a an my your his her its our their this that der die das den dem des ein eine einen einem einer mein meine meinen meinem meiner unser unsere sein seine ihr ihre kein keine le la les un une mon ma mes son sa notre leur el los las una mi su nuestro nuestra o os as um uma meu minha seu sua il lo gli mio mia het een mijn mój moja мой моя наш
 place: in at near past toward towards around outside inside into across through between back aus nach bei von zwischen en près chez dans entre vers desde hacia em perto até de du da do в на из под w na z te naar
@@ -285,14 +285,14 @@ def _person_features(text: str, i: int, j: int, words: list[str], title: int, la
     p = _PREV2.search(text, max(0, i - 40), i)
     n = _NEXT2.match(text, j)
     edge = text[max(0, i - 3) : i].rstrip(" \n\"“„«(")[-1:]
-    start = not p or (edge in ".!?:;" and not title)
+    first, last = words[0].lower(), words[-1].lower()
+    start = not p or (edge in ".!?:;" and not title) or ("\n" in text[max(0, i - 3) : i] and first in small)
     prev = EDGE if not p else word_class(p[3])
     prev2 = EDGE if not p or not p[1] or p[2][:1] in ".!?" else word_class(p[1])
     nxt = word_class(n[1]) if n else EDGE
     nxt2 = EDGE if not n or not n[2] else word_class(n[2])
     tail = text[j : j + 2]
     after = 1 if tail in ("'s", "’s") else 2 if tail[:1] in ".!?" else 3 if tail[:1] == "," else 4 if not tail.strip() else 5 if tail[:1] in ":;)" else 0
-    first, last = words[0].lower(), words[-1].lower()
     before = text[max(0, i - 44) : i].lower()
     near = [w.strip(".,;:!?\"'()") for w in before.split()[-5:]]
     far = max((k for w in near if (k := CLASS.get(w, 0)) in (_KIN, _NAMED)), default=0)
@@ -349,7 +349,7 @@ def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
         low = w.lower()
         if run:
             g = GAP.fullmatch(text, run[-1][1], s)
-            if g is None or (g[0] == "\n" and small.get(low, 0) > 1):
+            if g is None or (g[0] == "\n" and not _kind(run[-1][2].lower())):
                 close()
         if low in TITLES and text[e : e + 1] in (".", " ") and not (run and low in GIVEN):
             close()

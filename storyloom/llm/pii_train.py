@@ -18,7 +18,7 @@ FOLDS = 4
 
 # Frames. English, then German, French, Spanish, Portuguese, Italian, Dutch, Polish, Russian, and scripts without case.
 PERSON = """
-My <kin> {given} <did>.|{given} <did>.|{full} <did>.|{given} and {given} <did>.|Yesterday {given} <did>.|Then {full} <did>.|I <met> {name} <when>.|I <met> {name}.|We <met> {given} and the others.|A <kin> named {given} <did>.|Somebody called {full} <did>.|{given}'s <thing> was lost.|We lost {given}’s <thing>.|With {name} I felt safe.|It was {given} who <did>.|It was {full} again.|Was that {given} or somebody else?|Is it {given} or not?|That stayed between {given} and me.|I did it for {given}.|The parcel came from {given}.|Dear {given}, thank you for the <thing>.|Sincerely, {full}|Kind regards, {initial}|Dr. {surname} <did>.|Dr {full} <did>.|I asked Dr. {surname} for the <thing>.|Mr. {surname} <did>.|Mrs {surname} <did>.|Ms. {full} <did>.|Professor {surname} <did>.|The <thing> was signed by {initial}.|The <thing> was signed by {initial}.|The name there was {initial}.|Patient: {listed}, room <n>.|Surname and first name: {listed}.|My <kin>, {full}, <did>.|A <kin>, maybe {full}, <did>.|Nobody worked like {given}.|No one except {given} knew.|My <kin> {full} and her <thing>.|They gave {given} and me a <thing>.|Later {lower} <did>.|and so {lower} told me to go.|Only {given} <did>.|{given}, my <kin>, <did>.|Thanks, {given}!|Ask {given} about it.|Tell {given} that I am late.|Our <kin> {given} from <place> <did>.|{given} from <place> <did>.|When {given} <did>, we cried.|Because {full} <did>, I stayed.|Here {given} stopped.|He said that {given} <did>.|She thinks {full} <did>.|She was down as {listed} in the book.|It said {listed} on the door.|The form had {listed} in it.|He signed in as {listed} that day.|{full} was my <kin>.|{full} is a <kin>.|{full} was there.|They had me as {listed} on the list.|Maybe it was {given} or her <kin>.|{given}'s <thing> and {given}'s <thing> were gone.|{given}'s eyes were red.|Signed by {initial}, in pencil.|It ended with {initial}, as always.|Once {lower} <did>.|That day {lower} <did>.|and {lower} asked us in.|{given}'s <thing> broke.|{given}'s voice shook.|{given}’s <kin> <did>.|I liked {given}'s <thing>.|{given}'s legs were tired.|Few people are as kind as {given} is.|Many fight like {given} does.|This boy {given} <did>.|There was a girl, {given}, in the hall.|They sent {given} and me home.|They picked {given} first.|Not {given}!|I told {name} the truth.|I still write to {full}.|I still write to Professor {surname}.|{given} or {given}, I forget.|My name is {name}.|I am {full} and I live in <place>.|The name on it was {full}.|{caps} <did>.|I saw {caps} <when>.|In <place> {given} <did>.|Our <kin> {given} was there.|As {given} said, it was over.|Did {given} call you?|Is {full} your <kin>?|There was {given}, and there was {given}.|Did you know {given}?|The <kin> was {given}, of course.|Sister {given} <did>.|Uncle {given} <did>.|Father {given} <did>.|Judge {surname} <did>.|Later I worked for {full}.|We buried {given} in <month>.
+My <kin> {given} <did>.|{given} <did>.|{full} <did>.|{given} and {given} <did>.|Yesterday {given} <did>.|Then {full} <did>.|I <met> {name} <when>.|I <met> {name}.|We <met> {given} and the others.|A <kin> named {given} <did>.|Somebody called {full} <did>.|{given}'s <thing> was lost.|We lost {given}’s <thing>.|With {name} I felt safe.|It was {given} who <did>.|It was {full} again.|Was that {given} or somebody else?|Is it {given} or not?|That stayed between {given} and me.|I did it for {given}.|The parcel came from {given}.|Dear {given}, thank you for the <thing>.|Sincerely, {full}|Kind regards, {initial}|Dr. {surname} <did>.|Dr {full} <did>.|I asked Dr. {surname} for the <thing>.|Mr. {surname} <did>.|Mrs {surname} <did>.|Ms. {full} <did>.|Professor {surname} <did>.|The <thing> was signed by {initial}.|The <thing> was signed by {initial}.|The name there was {initial}.|Patient: {listed}, room <n>.|Surname and first name: {listed}.|My <kin>, {full}, <did>.|A <kin>, maybe {full}, <did>.|Nobody worked like {given}.|No one except {given} knew.|My <kin> {full} and her <thing>.|They gave {given} and me a <thing>.|Later {lower} <did>.|and so {lower} told me to go.|Only {given} <did>.|{given}, my <kin>, <did>.|Thanks, {given}!|Ask {given} about it.|Tell {given} that I am late.|Our <kin> {given} from <place> <did>.|{given} from <place> <did>.|When {given} <did>, we cried.|Because {full} <did>, I stayed.|We waited because {given} <did>.|We left since {given} <did>.|It ended when {given} <did>.|I knew that {given} <did>.|Here {given} stopped.|He said that {given} <did>.|She thinks {full} <did>.|She was down as {listed} in the book.|It said {listed} on the door.|The form had {listed} in it.|He signed in as {listed} that day.|{full} was my <kin>.|{full} is a <kin>.|{full} was there.|They had me as {listed} on the list.|Maybe it was {given} or her <kin>.|{given}'s <thing> and {given}'s <thing> were gone.|{given}'s eyes were red.|Signed by {initial}, in pencil.|It ended with {initial}, as always.|Once {lower} <did>.|That day {lower} <did>.|and {lower} asked us in.|{given}'s <thing> broke.|{given}'s voice shook.|{given}'s <thing> was the best of all.|{given}'s old <thing> still works.|{given}’s <kin> <did>.|I liked {given}'s <thing>.|{given}'s legs were tired.|Few people are as kind as {given} is.|Many fight like {given} does.|This boy {given} <did>.|There was a girl, {given}, in the hall.|They sent {given} and me home.|They picked {given} first.|Not {given}!|I told {name} the truth.|I still write to {full}.|I still write to Professor {surname}.|{given} or {given}, I forget.|My name is {name}.|I am {full} and I live in <place>.|The name on it was {full}.|{caps} <did>.|I saw {caps} <when>.|In <place> {given} <did>.|Our <kin> {given} was there.|As {given} said, it was over.|Did {given} call you?|Is {full} your <kin>?|There was {given}, and there was {given}.|Did you know {given}?|The <kin> was {given}, of course.|Sister {given} <did>.|Uncle {given} <did>.|Father {given} <did>.|Judge {surname} <did>.|Later I worked for {full}.|We buried {given} in <month>.
 Ich habe {full} alles gesagt.|Ich gab {given} das Buch.|Mein Freund {given} <de_did>.|{full} <de_did>.|Meine Nachbarin {given} <de_did>.|Frau {surname} <de_did>.|Herr {surname} <de_did>.|Ich traf {name} am Bahnhof.|Ich habe mit {name} gesprochen.|Der Chef hieß {full}.|Dann <de_did0> {given} plötzlich.|Er heißt {given}.|Das war {given}.|Wir fragten {full} nach dem Weg.|Herrn {surname} kannte jeder.|Meine Tante {given} <de_did>.
 J'ai tout dit à {full}.|J'ai donné le livre à {given}.|C'est M. {surname} qui <fr_did>.|C'était Mme {surname}, je crois.|M. {surname} <fr_did>.|Mon ami {given} <fr_did>.|{full} <fr_did>.|Mme {surname} <fr_did>.|M. {surname} <fr_did>.|Madame {surname} <fr_did>.|Elle s'appelle {name}.|J'ai vu {given} hier.|C'était {full}.|Ma voisine {given} <fr_did>.|Avec {given}, on riait.|J'ai écrit à {full}.|Il a parlé d'{given}.
 Le dije todo a {full}.|Se lo di a {given}.|Mi amigo {given} <es_did>.|{full} <es_did>.|El señor {surname} <es_did>.|La señora {surname} <es_did>.|El Sr. {surname} <es_did>.|La Sra. {surname} <es_did>.|El Sr. {surname} <es_did>.|Se llama {name}.|Vi a {given} ayer.|Era {full}.|Mi vecina {given} <es_did>.|Hablé con {full}.|Mi profesor se llamaba {full}.
@@ -32,7 +32,7 @@ Back in <place> it rained.|We flew to <place> <when>.|She lives near <place>.|Th
 Der <de_noun> stand im <de_noun>.|Die Frau ging mit dem <de_noun> nach <place>.|Mein <de_noun> und dein <de_noun> waren alt.|Das war <de_noun> genug.|In <place> war alles still.|<de_adv> kam der Winter.|Wir hatten <de_noun> und <de_noun>.|Am Montag fuhr der Zug nach <place>.|Wir hatten <de_noun>, <de_noun> usw.|Sie eröffnete eine kleine <de_noun> nach dem Krieg.|In der Nähe von <place> war es still.|Die <de_adj> <de_noun> war fort.|Er zahlte den <de_adj> <de_noun> im <de_noun>.|Sie kaufte <de_adj> <de_noun> am Abend.|Das <de_adj> <de_noun> brannte.|Wir lernten, um <de_noun> zu bitten.|Es gab <de_noun>, aber kein Geld.|Herr und Frau waren fort.|Der Arzt sprach über <de_noun>.|Zum <de_noun> gingen wir spät.|Vor dem <de_noun> wartete meine Mutter.|Ohne <de_noun> ging nichts.|Er kam ins <de_noun>.|Mein Bruder fuhr zum <de_noun> und dann ins <de_noun>.|Seile, <de_noun> und <de_noun> lagen da.|Unser <de_noun> verkaufte das <de_noun>.|Es war der <de_noun> meines Lebens.|<de_noun> <de_did>.|Alle <de_noun> waren fort.|Wir kauften <de_noun>.|Es kostete <n> Euro inkl. <de_noun>.|Der Chef heißt nicht so.|Meine <de_kin> rief an.|Dann kam meine <de_kin> zurück.|Ich wusste, meine <de_kin> <de_did>.
 À <place>, il pleuvait.|Le maire de <place> est venu.|Nous habitions près de <place>.|<fr_adv>, tout a changé.|La rivière passe à <place>.|Mme la présidente a parlé.|M. le maire est parti.|LE MUSÉE EST FERMÉ.|La France est belle.|Est-ce que tu viens ?|Parfois, <common>.|Peut-être que oui.|<fr_adv> que tout change.
 En <place> llovía.|El alcalde de <place> vino.|<es_adv> todo cambió.|El Sr. alcalde habló.|La Dra. de guardia salió.|Fuimos a <place> en verano.|Desde <place> hay un tren.|Recuerdo que llovía.|Recuerdo que mi <kin> vino.|Creo que no.|<es_verb> mi vida.|<es_verb> todo en <place>.|<es_verb> la casa y el coche.|<pt_verb> a casa.|<pt_verb> tudo em <place>.|Dicen que sí.|Parece que todos ríen.|Teníamos hambre en <place>.|Lembro que chovia.|Acho que não.|Parece que sim.|Dizem que choveu.|Em <place> chovia.|O prefeito de <place> veio.|<pt_adv> tudo mudou.|A Sra. diretora saiu.|Fomos para <place> no verão.|A <place> vado in treno.|In <place> regende het.|W <place> padało.|Il Sig. direttore parla.
-<ru_noun> <ru_did>.|<ru_noun> <ru_did>.|Тогда <ru_did> мой дядя.|Моя <ru_low> <ru_did>.|В <ru_place> шёл снег.|Вчера мы поехали в <ru_place>.|Потом всё изменилось.|Мама сказала нет.|Никто не пришёл.|这里没有人。|我的老师很好。|先生不在家。|お母さんが来ました。|先生に電話した。|아버지가 왔어요.|السيد المدير مشغول.|मेरा नाम मत पूछो।|คุณมาจากไหน
+<ru_noun> <ru_did>.|<ru_noun> <ru_did>.|Тогда <ru_did> мой дядя.|Неужели я прав?|Теперь я знаю.|Почему ты молчал?|Когда он ушёл, стало тихо.|Может, я забыл.|Сначала мы молчали.|Моя <ru_low> <ru_did>.|В <ru_place> шёл снег.|Вчера мы поехали в <ru_place>.|Потом всё изменилось.|Мама сказала нет.|Никто не пришёл.|这里没有人。|我的老师很好。|先生不在家。|お母さんが来ました。|先生に電話した。|아버지가 왔어요.|السيد المدير مشغول.|मेरा नाम मत पूछो।|คุณมาจากไหน
 """.strip()
 NUMBERS = """
 Call me at {phone}.|My number is {phone}.|{phone} is my cell.|You can reach us on {phone} after five.|Tel. {phone}|Phone: {phone}|I rang {phone} for hours.|Text {phone} when you land.|She wrote {phone} on my hand.|Her number, {phone}, was wrong.|{phone} rang all night.|I still remember {phone} today.|They gave me {phone} and a key.|Meine Nummer ist {phone}.|Rufen Sie {phone} an.|Mon numéro est le {phone}.|Appelez le {phone}.|Mi teléfono es {phone}.|Llame al {phone}.|O meu telefone é {phone}.|Ligue para {phone}.|Il mio numero è {phone}.|Мой номер {phone}.|电话是{phone}。|電話は{phone}です。|전화번호는 {phone}입니다.|मेरा फ़ोन नंबर {phone} है।|رقم هاتفي {phone}.|เบอร์โทร {phone}
