@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers with items (problem 7).
 
 Variable-capacity best-fit: the permitted lengths are optimised jointly. Items (texts measured in tokens of a public
-tokenizer) go, longest first, into the open container they fit most tightly; a container is opened at the capacity of
-least cost, and at the end every container is downsized to the smallest capacity that holds its contents.
+tokenizer) go, longest first, into the open container they fit most tightly. Where none is open, a container of the
+capacity of least cost is opened: of the capacities that hold the item, the one that the items still to come would
+leave least unused. At the end every container is downsized to the smallest capacity that holds its contents.
 Only an item longer than the largest capacity is divided, at token boundaries.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import importlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -56,42 +57,45 @@ def measured(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZ
     return rows.groupBy("item_id").agg(F.max("size").alias("size")).where("size > 0")
 
 
+def _unused(free: int, top: int, distinct: list[int], left: dict[int, int]) -> int:
+    """Room that stays free if a container is filled from the items left, each time with the largest that fits."""
+    k = bisect_right(distinct, min(free, top)) - 1
+    while k >= 0 and free >= distinct[0]:
+        n = min(left[distinct[k]], free // distinct[k])
+        free -= n * distinct[k]
+        k = min(k - 1, bisect_right(distinct, free) - 1)
+    return free
+
+
 def pack(sizes: list[int], capacities: list[int]) -> list[tuple[int, int]]:
     """``(container, capacity)`` of every item (each at most the largest capacity), by best fit of falling sizes.
 
-    The joint optimisation is by full containers: a run over each capacity as opening size gives a plan, and of the
-    plans (after downsizing each container to its contents) the one of least total capacity wins; ties go to fewer
-    containers.
+    The cost of opening a capacity is the share of it left unused by ``_unused``; of equal ones the largest is opened.
     """
     capacities = sorted(set(capacities))
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    best = None
-    for limit in capacities:
-        where = [0] * len(sizes)
-        room: list[tuple[int, int]] = []  # (free, container), sorted
-        used: list[int] = []
-        cap: list[int] = []
-        for i in order:
-            s = sizes[i]
-            at = bisect_left(room, (s, -1))
-            if at < len(room):
-                free, c = room.pop(at)
-            else:
-                c, opened = len(used), next(x for x in capacities if x >= max(s, limit))
-                used.append(0)
-                cap.append(opened)
-                free = opened
-            used[c] += s
-            where[i] = c
-            if free - s:
-                insort(room, (free - s, c))
-        final = [next(x for x in capacities if x >= u) for u in used]
-        plan = (sum(final), len(final), where, final)
-        if best is None or plan[:2] < best[:2]:
-            best = plan
-    if best is None:
-        return []
-    return [(c, best[3][c]) for c in best[2]]
+    distinct = sorted(set(sizes))
+    left: dict[int, int] = {}
+    for s in sizes:
+        left[s] = left.get(s, 0) + 1
+    where = [0] * len(sizes)
+    room: list[tuple[int, int]] = []  # (free, container), sorted
+    used: list[int] = []
+    for i in order:
+        s = sizes[i]
+        left[s] -= 1
+        at = bisect_left(room, (s, -1))
+        if at < len(room):
+            free, c = room.pop(at)
+        else:
+            c, free = len(used), min((x for x in capacities if x >= s), key=lambda x: (_unused(x - s, s, distinct, left) / x, -x))
+            used.append(0)
+        used[c] += s
+        where[i] = c
+        if free - s:
+            insort(room, (free - s, c))
+    final = [capacities[bisect_left(capacities, u)] for u in used]
+    return [(c, final[c]) for c in where]
 
 
 def containers(items: DataFrame, capacities: list[int], bucket_items: int = BUCKET_ITEMS) -> DataFrame:

@@ -20,6 +20,30 @@ def test_pack_is_feasible_and_tight():
     assert packing.pack([], [4]) == [] and packing.pack([4, 4], [4]) in ([(0, 4), (1, 4)], [(1, 4), (0, 4)])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joint_capacities_beat_every_single_opening_size(seed):
+    r = random.Random(seed)
+    capacities = [256, 1024, 4096]
+    sizes = [min(4095, max(1, int(r.lognormvariate(4.8, 1.3)))) for _ in range(4000)]
+    plan = packing.pack(sizes, capacities)
+    total = sum(cap for _, cap in set(plan))
+
+    def single(opening):
+        """Best fit of falling sizes where every container is opened at one size, then downsized."""
+        room = []
+        for s in sorted(sizes, reverse=True):
+            fits = [k for k, (free, _) in enumerate(room) if free >= s]
+            if fits:
+                k = min(fits, key=lambda k: room[k][0])
+                room[k] = (room[k][0] - s, room[k][1])
+            else:
+                cap = next(c for c in capacities if c >= max(s, opening))
+                room.append((cap - s, cap))
+        return sum(next(c for c in capacities if c >= cap - free) for free, cap in room)
+
+    assert total <= min(single(c) for c in capacities)
+
+
 def test_containers(spark):
     r = random.Random(2)
     items = spark.createDataFrame([(i, r.choice([1, 5, 30, 255, 256, 700]), 0) for i in range(500)] + [(1000, 5000, 0), (1001, 0, 0), (None, 3, 0)], "item_id long, size int, bucket int")
