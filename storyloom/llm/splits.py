@@ -133,7 +133,11 @@ def largest_differencing(weights: list[float], k: int) -> list[int]:
 
 
 def allot_bins(bins: list[tuple[str, int, float]], shares: dict[str, float]) -> dict[tuple[str, int], str]:
-    """Split of each ``(stratum, bin)``: heaviest first, to the split furthest below its share overall and in the stratum."""
+    """Split of each ``(stratum, bin)``: heaviest first, to the split furthest below its share overall and in the stratum.
+
+    Then bins are moved until no move brings the overall shares nearer; of equal moves, one from the stratum where the
+    split is furthest above its share.
+    """
     total = sum(w for *_, w in bins) or 1.0
     by: dict[str, float] = {}
     for s, _, w in bins:
@@ -148,6 +152,19 @@ def allot_bins(bins: list[tuple[str, int, float]], shares: dict[str, float]) ->
         out[s, b] = best
         have[best] += w
         inside[s, best] += w
+    # whole bins move from the split most above its share to the one most below, while that brings both nearer
+    weight = {(s, b): w for s, b, w in bins}
+    while len(want) > 1:
+        over, under = max(sorted(want), key=lambda k: have[k] - want[k] * total), min(sorted(want), key=lambda k: have[k] - want[k] * total)
+        spare, lack = have[over] - want[over] * total, want[under] * total - have[under]
+        moved = [(abs(spare - weight[x]) + abs(lack - weight[x]), want[over] * by[x[0]] - inside[x[0], over], x) for x, k in out.items() if k == over]
+        if not moved or min(moved)[0] >= spare + lack - 1e-9:
+            return out
+        x = min(moved)[2]
+        out[x] = under
+        for k, sign in ((over, -1), (under, 1)):
+            have[k] += sign * weight[x]
+            inside[x[0], k] += sign * weight[x]
     return out
 
 

@@ -79,3 +79,14 @@ def test_splits_keep_groups_and_shares(spark):
     assert abs(got["train"] - 0.66) < 0.02 and abs(got["test"] - 0.17) < 0.02
     none = splits.assign_splits(table(spark, []), ex, share)
     assert none.count() == 0
+
+
+def test_allotment_reaches_the_shares():
+    r = random.Random(3)
+    bins = [(f"s{k % 9}", k // 9, float(r.randint(3, 9))) for k in range(400)]
+    shares = {"train": 0.66, "valid": 0.17, "test": 0.17}
+    out = splits.allot_bins(bins, shares)
+    total = sum(w for *_, w in bins)
+    for name, share in shares.items():
+        assert abs(sum(w for s, b, w in bins if out[s, b] == name) / total - share) < 0.002
+    assert splits.allot_bins([], shares) == {} and set(splits.allot_bins([("a", 0, 1.0)], {"x": 1.0}).values()) == {"x"}
