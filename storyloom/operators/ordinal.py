@@ -11,12 +11,20 @@ from storyloom.functions.maths import dot, ordinal_class, softplus_neg
 from storyloom.operators.models import partition_sums
 
 
+#: Classes a label may have.
+MAX_CLASSES = 1000
+
+
 def class_index(df: DataFrame, label: str) -> DataFrame:
     """``y``: rank of the label among its distinct values, from 0 (intended remapping).
 
-    The distinct labels are ranked, a table of as many rows as there are classes.
+    The distinct labels are ranked, a table of as many rows as there are classes; more than ``MAX_CLASSES`` of them
+    are an error, as such a label is no class.
     """
-    ranks = df.where(F.col(label).isNotNull()).select(label).distinct().withColumn("y", F.dense_rank().over(Window.orderBy(label)) - 1)
+    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
+    if len(labels.limit(MAX_CLASSES + 1).collect()) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct labels")
+    ranks = labels.withColumn("y", F.dense_rank().over(Window.orderBy(label)) - 1)
     return df.join(F.broadcast(ranks), label)
 
 

@@ -144,47 +144,46 @@ def _position(level: str) -> Column:
     return (F.row_number().over(Window.partitionBy("raw_id", "parent_entity").orderBy("node")) - 1).cast("int").alias(f"{level}_idx")
 
 
-def entities(records: DataFrame) -> DataFrame:
-    """One row for each scene, passage and example with parent positions and the fields of its level.
+def entities(records: DataFrame, fields: bool = True) -> DataFrame:
+    """One row for each scene, passage and example with parent positions and, with ``fields``, the fields of its level.
 
     Columns ``raw_id, level, scene_idx, passage_idx, example_idx`` (positions of levels below the row's own are
     -1; they count from 0 within the parent, in payload order), ``scene_name, scene_agency, scene_communion,
     scene_score, word_count, speaker, dimension, score, text`` as strings, null where absent.
 
-    Object nodes are joined with their scalar children on (raw_id, node) and pivoted; children may stand in a
-    list, alone, or under their names in a container; an example may be plain text. All joins share the
-    partitioning by raw_id; the adjacency table is written once (checkpoint) and read by every join; a record is never larger than its payload.
+    Children may stand in a list, alone, or under their names in a container; an example may be plain text. The
+    adjacency table is written once (checkpoint). Object nodes are placed by joins of ids alone; last, they are joined
+    with their scalar children on (raw_id, node), pivoted. Without ``fields`` scalars never leave the reader.
     """
-    nodes = checkpoint(adjacency(records).repartition("raw_id"))
+    nodes = adjacency(records)
+    nodes = checkpoint(nodes if fields else nodes.drop("scalar"))
     containers = nodes.where(F.col("label").isin(list(CONTAINERS)) & (F.col("kind") == "object")).select("raw_id", F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("label").alias("container"))
-    named = nodes.join(containers, ["raw_id", "parent"], "left")
     level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CONTAINERS.items() for x in kv]), F.col("container")), F.col("label"))
-    named = named.select("raw_id", "node", F.coalesce("above", "parent").alias("parent"), F.when(F.col("container").isNotNull() & (F.col("kind") == "scalar") & (F.col("container") != "examples"), None).otherwise(level).alias("level"), "label", "kind", "scalar")
-    own = named.where(F.col("level").isin(LEVELS) & ((F.col("kind") == "object") | (F.col("level") == "example")))
-    scalars = named.where("kind = 'scalar' and level not in ('scene', 'passage', 'example')")
-    fields = sorted({f for fs in FIELDS.values() for f in fs} - {"text"})
-    pivot = scalars.groupBy("raw_id", F.col("parent").alias("node")).agg(
-        *[F.min_by(F.when(F.col("label") == f, F.col("scalar")), F.when(F.col("label") == f, F.col("node"))).alias(f) for f in fields],
-        F.min_by(F.when(F.col("label").isin(TEXT_LABELS), F.col("scalar")), F.when(F.col("label").isin(TEXT_LABELS), F.col("node"))).alias("text"),
-    )
-    full = checkpoint(own.join(pivot, ["raw_id", "node"], "left").withColumn("text", F.coalesce("text", F.when(F.col("kind") == "scalar", F.col("scalar")))))
-    value = ["raw_id", "node", *fields, "text"]
-
-    def rows(name: str) -> DataFrame:
-        return full.where(F.col("level") == name)
-
-    scene = rows("scene").withColumn("parent_entity", F.col("parent")).select(*value, _position("scene"))
-    up = scene.select("raw_id", F.col("node").alias("parent"), "scene_idx")
-    passage = rows("passage").join(up, ["raw_id", "parent"]).withColumn("parent_entity", F.col("parent")).select(*value, "scene_idx", _position("passage"))
-    up = passage.select("raw_id", F.col("node").alias("parent"), "scene_idx", "passage_idx")
-    example = rows("example").join(up, ["raw_id", "parent"]).withColumn("parent_entity", F.col("parent")).select(*value, "scene_idx", "passage_idx", _position("example"))
-    none = F.lit(-1)
-    parts = [(scene, "scene"), (passage, "passage"), (example, "example")]
-    flat = [
-        df.withColumns({"level": F.lit(name), **{f"{x}_idx": none for x in LEVELS[i + 1 :]}}).select("raw_id", "level", *[f"{x}_idx" for x in LEVELS], *fields, "text")
-        for i, (df, name) in enumerate(parts)
-    ]
-    return flat[0].unionByName(flat[1]).unionByName(flat[2])
+    level = F.when(F.col("container").isNotNull() & (F.col("kind") == "scalar") & (F.col("container") != "examples"), None).otherwise(level)
+    named = nodes.join(containers, ["raw_id", "parent"], "left").withColumns({"parent": F.coalesce("above", "parent"), "level": level})
+    entity = F.col("level").isin(LEVELS) & ((F.col("kind") == "object") | (F.col("level") == "example"))
+    own = checkpoint(named.where(entity).select("raw_id", "node", "parent", "level"))
+
+    def placed(name: str, above: DataFrame | None, keys: list[str]) -> DataFrame:
+        rows = own.where(F.col("level") == name).select("raw_id", "node", "parent")
+        rows = rows if above is None else rows.join(above.select("raw_id", F.col("node").alias("parent"), *keys), ["raw_id", "parent"])
+        return rows.withColumn("parent_entity", F.col("parent")).select("raw_id", "node", *keys, _position(name))
+
+    scene = placed("scene", None, [])
+    passage = placed("passage", scene, ["scene_idx"])
+    example = placed("example", passage, ["scene_idx", "passage_idx"])
+    index = [f"{x}_idx" for x in LEVELS]
+    parts = [df.withColumns({"level": F.lit(name), **{f"{x}_idx": F.lit(-1) for x in LEVELS[i + 1 :]}}).select("raw_id", "node", "level", *index) for i, (df, name) in enumerate([(scene, "scene"), (passage, "passage"), (example, "example")])]
+    flat = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if not fields:
+        return flat.select("raw_id", "level", *index)
+    names = sorted({f for fs in FIELDS.values() for f in fs} - {"text"})
+    # the fields of a node are its scalar children; a plain-text example is its own
+    child = named.where("kind = 'scalar'").select("raw_id", F.when(F.col("level") == "example", F.col("node")).otherwise(F.col("parent")).alias("node"), F.col("node").alias("at"), F.when(F.col("level") == "example", F.lit("")).otherwise(F.col("label")).alias("label"), "scalar", "level")
+    child = child.where("level not in ('scene', 'passage')")
+    first = lambda which: F.min_by(F.when(which, F.col("scalar")), F.when(which, F.col("at")))
+    pivot = child.groupBy("raw_id", "node").agg(*[first(F.col("label") == f).alias(f) for f in names], first(F.col("label").isin([*TEXT_LABELS, ""])).alias("text"))
+    return flat.join(pivot, ["raw_id", "node"], "left").select("raw_id", "level", *index, *names, "text")
 
 
 def entity_table(records: DataFrame, level: str) -> DataFrame:

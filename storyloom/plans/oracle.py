@@ -48,7 +48,7 @@ _XW = "(q * 0.02 + di * -1.5 + tx * 2.0)"
 _TH = [0.2, 0.6, 1.1, 1.5, 2.0, 2.6, 3.0]
 _SP = "(ln(1 + exp(-abs({0}))) + greatest(-({0}), 0))"
 _FOLDS = f"""{_DOCS}, fr as (select example_id, label from docs where label is not null), folds as (
- select f fold, example_id, label, row_number() over (partition by f order by {_HASH.format(k="example_id * 31 + 1009 * (f + 1)")}, example_id) <= ceil((select count(*) from fr) * 0.1) is_test from fr, range(5) z(f))"""
+ select f fold, example_id, label, row_number() over (partition by f order by {_HASH.format(k="example_id * 31 + 1009 * (f + 1)")}, example_id) <= ceil((select count(*) from fr) * 0.1) is_test from fr, range(50) z(f))"""
 _NORM = f"{_LI}, mm as (select least(1.0, min(q)) lo, greatest(-1.0, max(q)) hi from li), nw as (select l_orderkey, l_linenumber, (q - lo) / hi normalized from li, mm)"
 _TAGS = """case split_part(line, ':', 1) when 'I' then 'Interviewer' when 'THE INTERVIEWER' then 'Interviewer' when 'INTERVIEWER' then 'Interviewer' when 'R' then 'Respondent' when 'RESPONDENT' then 'Respondent'
  when 'MALE SPEAKER' then 'Respondent' when 'FEMALE SPEAKER' then 'Respondent' when 'INTERVIEWEE' then 'Respondent' when 'THE INTERVIEWEE' then 'Respondent' when 'PARTICIPANT' then 'Respondent' when 'ANSWER' then 'Respondent' end"""
@@ -123,7 +123,7 @@ ORACLES: dict[str, str] = {
     "mae": _q(_PRED, "select 'lift' as model, round(avg(e), 6) as mae from (select example_id % 5 f, avg(abs(label - prediction)) e from pred where label is not null group by 1)"),
     "param_grid": _q(_GRID, "select max_feat::int as max_feat, round(c, 9) as c, ngram::int as ngram from gr"),
     "grid_best": _q(_GRID, "select * from (select 'best' as which, max_feat::int as max_feat, round(c, 9) as c, ngram::int as ngram, roc from gr order by roc desc, i, j, k limit 1) union all select * from (select 'worst', max_feat::int, round(c, 9), ngram::int, roc from gr order by roc, i, j, k limit 1)"),
-    "grid_pivot": _q(_GRID, "select max_feat::int as max_feat, " + ", ".join(f"max(roc) filter (where j = {j}) as c{j}" for j in range(5)) + " from gr where ngram = 2 group by 1"),
+    "grid_pivot": _q(_GRID, "select max_feat::int as max_feat, " + ", ".join(f"max(roc) filter (where j = {j}) as c{j}" for j in range(20)) + " from gr where ngram = 2 group by 1"),
     "cv_folds": _q(_FOLDS, "select fold::int as fold, example_id, is_test from folds"),
     "complete_folds": _q(_FOLDS, "select fold::int as fold from folds where not is_test group by 1 having count(distinct label) = (select count(distinct label) from fr)"),
     "sigmoid": _q(_LI, f"select l_orderkey, l_linenumber, round(1 / (1 + exp(-({_T}))), 6) as p from li"),
@@ -142,7 +142,8 @@ ORACLES: dict[str, str] = {
  n1 as (select example_id, sqrt(sum(v * v)) n from v1 group by 1), n2 as (select example_id, sqrt(sum(v * v)) n from v2 group by 1)
  select v1.example_id, v1.term, round(v1.v / n1.n, 6) as observed, round(v2.v / n2.n, 6) as intended from v1 join n1 on n1.example_id = v1.example_id left join v2 on v2.example_id = v1.example_id and v2.term = v1.term left join n2 on n2.example_id = v1.example_id""").replace(" , sp as", ", sp as"),
     "colored_text": _q(_COEF, r""", w as (select example_id, label, unnest(range(len(ws)))::int word_idx, unnest(ws) word from (select example_id, label, list_filter(string_split(regexp_replace(doc, '[^\x00-\x7F]', '', 'g'), ' '), lambda x: x <> '') ws from docs where label is not null)),
- cw as (select w.example_id, word_idx, word, round(coalesce(coef * tfidf, 0) * 10, 6) v from w left join tfidf t on t.example_id = w.example_id and t.term = word left join coefs c on c.term = word and c.label = w.label)
+ cv as (select w.example_id, word_idx, word, round(coalesce(coef * tfidf, 0), 6) u from w left join tfidf t on t.example_id = w.example_id and t.term = word left join coefs c on c.term = word and c.label = w.label),
+ cw as (select *, round((u - (select least(1.0, min(u)) from cv)) / (select greatest(-1.0, max(u)) from cv), 6) v from cv)
  select example_id, string_agg(chr(27) || '[' || (case when v <= 0.2 then '42' when v <= 0.4 then '46' when v <= 0.6000000000000001 then '44' when v <= 0.8 then '45' else '41' end) || 'm' || chr(27) || '[37m' || word || chr(27) || '[0m', ' ' order by word_idx) as text from cw group by 1""").replace(" , w as", ", w as"),
     "color_key": "select * from (values (0, 'green', 'lowest'), (1, 'cyan', 'low'), (2, 'blue', 'middle'), (3, 'magenta', 'high'), (4, 'red', 'highest')) t(idx, color, meaning)",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import maths, text
 from storyloom.functions.stem import stem_text
 from storyloom.operators import evaluate, features, models, ordinal, ranking, responses, scoring, segment, shred, weights
-from storyloom.session import checkpoint, table, union_all
+from storyloom.session import checkpoint, shared_folder, table, union_all
 from storyloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,10 +68,11 @@ def doc_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return features.tfidf(checkpoint(doc_terms(spark, d)), "example_id", docs(spark, d).count())
 
 
-def class_coefs(spark: SparkSession, d: str) -> DataFrame:
+def class_coefs(spark: SparkSession, d: str, tfidf: DataFrame | None = None) -> DataFrame:
     """``(label, term, coef)``: mean tf-idf of a term in the documents of a class, as stand-in for coefficients."""
+    tfidf = doc_tfidf(spark, d) if tfidf is None else tfidf
     labelled = docs(spark, d).where("label is not null").select("example_id", "label")
-    sums = doc_tfidf(spark, d).join(labelled, "example_id").groupBy("label", "term").agg(F.sum("tfidf").alias("s"))
+    sums = tfidf.join(labelled, "example_id").groupBy("label", "term").agg(F.sum("tfidf").alias("s"))
     sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
     return sums.join(F.broadcast(sizes), "label").select("label", "term", F.round(F.col("s") / F.col("n"), 9).alias("coef"))
 
@@ -170,7 +170,7 @@ def split_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_rows(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.shuffle_split(docs(spark, d).where("label is not null").select("example_id", "label"), "example_id", 5)
+    return evaluate.shuffle_split(docs(spark, d).where("label is not null").select("example_id", "label"), "example_id", 50)
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,14 @@ def mae_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def weight_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = docs(spark, d).where("label is not null")
-    return weights.word_weights(rows, "example_id", "doc", "label", class_coefs(spark, d), doc_tfidf(spark, d))
+    tfidf = checkpoint(doc_tfidf(spark, d).select("example_id", "term", "tfidf"))
+    return weights.word_weights(rows, "example_id", "doc", "label", class_coefs(spark, d, tfidf), tfidf)
+
+
+def scaled_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Word weights on the scale of the highlight colours."""
+    rows = checkpoint(weight_rows(spark, d).withColumn("weight", six("weight")))
+    return weights.normalize_weights(rows).withColumn("normalized", six("normalized"))
 
 
 def normalized_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -266,9 +273,7 @@ def tfidf_refit(spark: SparkSession, d: str) -> DataFrame:
 
 def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Scene passages written as XML and read again."""
-    # the checkpoint folder is the one all executors share; a temporary one serves where none is set
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyloom-")
-    path = f"{base}/narratives-{spark.sparkContext.applicationId}-{abs(hash(d))}.xml"
+    path = f"{shared_folder(spark)}/narratives-{spark.sparkContext.applicationId}-{abs(hash(d))}.xml"
     writers.write_narrative_xml(writers.narrative_trees(scene_passages(spark, d), "narr_id"), path)
     flat = readers.flat_examples(readers.read_narrative_xml(spark, path))
     return flat.select(F.col("narrative_num").cast("long").alias("narr_id"), "scene_idx", "scene_name", "passage_idx", "speaker", F.coalesce("passage_text", F.lit("")).alias("text"))
@@ -317,7 +322,7 @@ QUERIES: dict[str, Query] = {
     "mae": mae_rows,
     "param_grid": lambda s, d: evaluate.param_grid(s).select("max_feat", F.round("c", 9).alias("c"), "ngram"),
     "grid_best": lambda s, d: evaluate.grid_best(grid(s, d)).select("which", "max_feat", F.round("c", 9).alias("c"), "ngram", "roc"),
-    "grid_pivot": lambda s, d: evaluate.grid_pivot(grid(s, d).where("j < 5"), 2),
+    "grid_pivot": lambda s, d: evaluate.grid_pivot(grid(s, d), 2),
     "cv_folds": lambda s, d: fold_rows(s, d).select("fold", "example_id", "is_test"),
     "complete_folds": lambda s, d: evaluate.complete_folds(fold_rows(s, d), "label"),
     "sigmoid": lambda s, d: line_items(s, d).select("l_orderkey", "l_linenumber", six(maths.sigmoid((F.element_at("x", 1) - 25) * 2)).alias("p")),
@@ -328,7 +333,7 @@ QUERIES: dict[str, Query] = {
     "normalize_weights": lambda s, d: normalized_rows(s, d).select("l_orderkey", "l_linenumber", six("normalized").alias("normalized")),
     "highlight": lambda s, d: weights.colored_words(normalized_rows(s, d)).select("l_orderkey", "l_linenumber", "highlight"),
     "word_weights": lambda s, d: weight_rows(s, d).select("example_id", "word_idx", "word", six("weight").alias("weight")),
-    "colored_text": lambda s, d: weights.colored_text(weights.colored_words(weight_rows(s, d).withColumn("normalized", F.round(F.col("weight") * 10, 6))), "example_id"),
+    "colored_text": lambda s, d: weights.colored_text(weights.colored_words(scaled_weights(s, d)), "example_id"),
     "residuals": lambda s, d: labelled_predictions(s, d).select("example_id", (F.col("prediction") - F.col("label")).alias("residual")),
     "class_column": lambda s, d: docs(s, d).where("label is not null").select("example_id", F.element_at(F.array(F.lit("low"), F.lit("no"), F.lit("high")), F.col("label") + 2).alias("column")),
     "tfidf_refit": tfidf_refit,
@@ -340,7 +345,7 @@ QUERIES: dict[str, Query] = {
     "ordinal_fit": ordinal_fit,
     "roc_cell": roc_cell,
     "xml_roundtrip": xml_roundtrip,
-    "p5_found": lambda s, d: shred.entities(table(s, d, "tagged_record")).select("raw_id", "scene_idx", "passage_idx", "example_idx"),
+    "p5_found": lambda s, d: shred.entities(table(s, d, "tagged_record"), fields=False).select("raw_id", "scene_idx", "passage_idx", "example_idx"),
     "p5_scene": lambda s, d: shred.entity_table(table(s, d, "tagged_record"), "scene"),
     "p5_passage": lambda s, d: shred.entity_table(table(s, d, "tagged_record"), "passage"),
     "p5_example": lambda s, d: shred.entity_table(table(s, d, "tagged_record"), "example"),
