@@ -38,7 +38,7 @@ _NO_SPACES = r"぀-ヿ㐀-䶿一-鿿가-힯฀-๿"
 
 def words_column(text: Column) -> Column:
     """Lower-case words; scripts without spaces go by character. Letter case, punctuation and layout don't count."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_NO_SPACES}]]+|[\p{{L}}\p{{M}}\p{{N}}&&[{_NO_SPACES}]]"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{_NO_SPACES}]]]++|[\p{{L}}\p{{M}}\p{{N}}&&[{_NO_SPACES}]]"), F.lit(0))
 
 
 class Item:

@@ -146,9 +146,9 @@ def speaker_turns(passages: DataFrame, examples: DataFrame, pause_s: float | Non
     meta = own.select("passage_id", "scene_id", "blk", F.coalesce("passage_idx", F.lit(0)).alias("passage_idx"), "label")
     from_own = own.where("text is not null").select("passage_id", F.lit(-1).alias("example_idx"), F.lit(-1).cast("long").alias("example_id"), F.inline(_segments(F.col("text"))))
     tagged = examples.where("text is not null and passage_id is not null").select("passage_id", F.coalesce("example_idx", F.lit(0)).alias("example_idx"), F.coalesce("example_id", F.lit(-1)).alias("example_id"), F.inline(_segments(F.col("text"))))
-    # one row a line: cleaned text, and time and words of a timed one
-    text, at_s = clean_words(F.col("raw")), _seconds(F.col("raw"))
-    cut = lambda df: df.select("passage_id", "example_idx", "example_id", "line", "who", "words", at_s.alias("at_s"), text.alias("text"), F.when(at_s.isNotNull() & F.col("words"), F.split(text, " ")).alias("caption"))
+    # one row a line, its words cleaned once: those of a timed line as its caption, those of any other as text
+    text, timed = F.when(F.col("words"), clean_words(F.col("raw"))), F.col("at_s").isNotNull()
+    cut = lambda df: df.withColumn("at_s", _seconds(F.col("raw"))).select("passage_id", "example_idx", "example_id", "line", "who", "words", "at_s", F.when(~timed, text).alias("text"), F.when(timed, F.split(text, " ")).alias("caption"))
     tagged = cut(tagged).repartition("passage_id").dropDuplicates(["passage_id", "example_id", "line"])
     rows = cut(from_own).unionByName(tagged).join(meta, "passage_id").repartition("scene_id", "blk")
 
@@ -198,7 +198,7 @@ def speaker_turns(passages: DataFrame, examples: DataFrame, pause_s: float | Non
     rows = rows.withColumns({"again": again, "long": long})
     part = F.sum(F.when(F.col("long"), 1).otherwise(0)).over(Window.partitionBy("scene_id", "turn_no").orderBy(*swept).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("part_no", part.cast("int")).where(F.coalesce(F.size("caption") > F.col("again"), F.lit(True)))
-    kept = F.when(F.col("again") > 0, F.array_join(F.slice("caption", F.col("again") + 1, F.size("caption")), " ")).otherwise(F.col("text"))
+    kept = F.coalesce("text", F.array_join(F.slice("caption", F.col("again") + 1, F.size("caption")), " "))
     pieces = F.array_sort(F.collect_list(F.struct(*swept, kept.alias("kept"))))
     words = F.array_join(F.filter(F.transform(pieces, lambda s: s.kept), lambda s: s != ""), " ")
     return rows.groupBy("scene_id", "turn_no", "part_no", "speaker").agg(words.alias("text"))
