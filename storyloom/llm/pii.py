@@ -85,7 +85,7 @@ NOISE = re.compile(
     re.M,
 )
 #: A text without any of these holds no noise.
-_NOISE_HINTS = ("(", "[", "<", "#", "*", "{", " uh", " um", " er", " ah", " hm", " eh", " euh", " ben", " äh", " este", " hã", " like", " I mean", " you know", " UH", " UM", ":")
+_NOISE_HINT = re.compile(r"[(\[<#*{:]| (?:u+[hm]|er|ah|hm|eh|ben|äh|este|hã|like|I mean|you know|U[HM])", 0)
 
 _ADDR_AT = r"(?:\s?\(at\)\s?|\s?\[at\]\s?|\s+at\s+|@)"
 _ADDR_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s+dot\s+)"
@@ -113,30 +113,35 @@ _STREETS = [
 ADDRESS = [re.compile(p) for p in _STREETS]
 #: Per pattern, words without one of which it can't match.
 _STREET_HINTS = [
-    tuple(f" {w}" for w in STREET_EN.split("|")),
+    (" ",),  # begins with a number
     ("Box", "Postfach", "Apartado", "aixa", "C.P.", "BP ", "B.P.", "а/я", "Casilla"),
-    ("straße", "strasse", "stra", "str.", "gasse", "weg ", "allee", "platz", "ring ", "damm", "ufer", "hang ", "steig", "pfad", "Stra", "Str.", "Weg", "Allee", "Platz", "Gasse", "Ring", "Damm", "Am ", "An d", "Im ", "Zum", "Zur", "Auf d", "In der", "Unter den"),
-    (" rue ", "avenue", "av.", " bd", "boulevard", "place", "chemin", "impasse", "all", "quai", "route", "cours", "square", "passage", "sentier"),
+    ("stra", "Am ", "An d", "Im ", "Zum", "Zur", "Auf d", "In der", "Unter den", " Straße", " Str."),
+    (" ",),  # begins with a number
     ("alle ", "C/", "vda", "venida", "laza", "aseo", "amino", "arrera", "onda ", "arretera"),
     ("ua ", "v. ", "venida", "ravessa", "raça", "lameda", "strada", "argo ", "odovia"),
     ("ул", "пр", "пер", "бульвар", "шоссе", "наб"),
     ("ia ", "iazza", "orso", "iale", "icolo"),
-    ("straat", "laan", "gracht", "kade", "plein", "dijk", "singel", "weg"),
+    ("\0",),
     ("ul.", "ulic", "al.", "alej", "pl.", "os."),
     ("号", "號", "町", "丁目"),
 ]
+#: A word with a number behind it, and how the words of the German and Dutch patterns end there.
+_WORD_NUMBER = re.compile(r"([^\W\d_][^\W\d_]*\.?)[ \n]\d")
+_ENDS = {2: ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer", "hang", "steig", "pfad"), 8: ("straat", "laan", "gracht", "kade", "plein", "dijk", "singel", "weg")}
 _ROOM_FOR_NUMBER = re.compile(r"\d")
 
 _UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 _LETTER = r"(?:[^\W\d_²³¹¼½¾]|[\u0300-\u036f])"
 #: A capitalised word: letters, marks, hyphens, and an apostrophe before a capital (O'Brien).
-CAP = re.compile(rf"(?<![\w@\-/#.])(?<!\w\w['’])[{_UPPER}](?:{_LETTER}|-(?={_LETTER})|['’](?=[{_UPPER}]))*(?![\w@€™\x80-\xb6]|\.\w|-\d)")
+#: What stands before is looked at last, so that the search goes from capital to capital.
+CAP = re.compile(rf"[{_UPPER}](?<![\w@\-/#.].)(?<!\w\w['’].)(?:{_LETTER}|-(?={_LETTER})|['’](?=[{_UPPER}]))*(?![\w@€™\x80-\xb6]|\.\w|-\d)")
+CAP_ASCII = re.compile(r"[A-Z](?<![\w@\-/#.].)(?<!\w\w'.)(?:[A-Za-z]|-(?=[A-Za-z])|'(?=[A-Z]))*(?![\w@]|\.\w|-\d)", re.A)
 _PARTICLE = "de|da|do|dos|das|del|della|di|du|van|von|der|den|ter|ten|zu|la|le|el|al|bin|ibn|ben|y|e"
 #: What may stand between the words of a name: a space, a line break, particles, initials.
 GAP = re.compile(rf" (?:(?:{_PARTICLE}) )*(?:[{_UPPER}]\. ?)*|\n")
 #: Initials and particles before the first word of a name.
 LEAD = re.compile(rf"(?<!\w)(?:[{_UPPER}]\. ?|(?:{_PARTICLE}) )+$")
-_PREV2 = re.compile(r"(?:([\w’'\-]+)(\W{1,3}))?([\w’'\-]+)([.,]?)[\s\"“„«(]*$")
+_MARKS = ".,;:!?\"“”„«»()[]…–—-*"
 _NEXT2 = re.compile(r"\s*([\w’'\-]+)(?:\s+([\w’'\-]+))?")
 _SMALL = re.compile(r"(?<![\w@.\-'’])(?=([a-zß-ÿ]{3,}) ([a-zß-ÿ]{4,})(?![\w@]|\.\w))[a-zß-ÿ]")
 _PREV = re.compile(r"([\w’'\-]+)[.,]?\s*$")
@@ -182,7 +187,7 @@ def vocabulary(names: tuple[str, ...] = VOCABULARIES) -> tuple[dict[str, int], d
 
 def clean_view(text: str) -> tuple[str, list[int], list[int]] | None:
     """Text without noise (time marks, sound notes, fillers) and the offsets to map back; None if there is none."""
-    if not any(h in text for h in _NOISE_HINTS):
+    if not _NOISE_HINT.search(text):
         return None
     out, starts, shifts, at, size = [], [0], [0], 0, 0
     for m in NOISE.finditer(text):
@@ -282,19 +287,24 @@ def _language(text: str) -> int:
 
 
 def _person_features(text: str, i: int, j: int, words: list[str], title: int, language: int, small: dict, big: dict, family: int = 0, comma: int = 0) -> tuple:
-    p = _PREV2.search(text, max(0, i - 40), i)
+    seg = text[max(0, i - 40) : i]
+    toks = seg.split()
+    p = toks[-1].strip(_MARKS) if toks else ""
+    if not p and len(toks) > 1:
+        toks.pop()
+        p = toks[-1].strip(_MARKS)
+    q = toks[-2] if len(toks) > 1 else ""
     n = _NEXT2.match(text, j)
     edge = text[max(0, i - 3) : i].rstrip(" \n\"“„«(")[-1:]
     first, last = words[0].lower(), words[-1].lower()
     start = not p or (edge in ".!?:;" and not title) or ("\n" in text[max(0, i - 3) : i] and first in small)
-    prev = EDGE if not p else word_class(p[3])
-    prev2 = EDGE if not p or not p[1] or p[2][:1] in ".!?" else word_class(p[1])
+    prev = EDGE if not p else word_class(p)
+    prev2 = EDGE if not q or q[-1] in ".!?" or not (q := q.strip(_MARKS)) else word_class(q)
     nxt = word_class(n[1]) if n else EDGE
     nxt2 = EDGE if not n or not n[2] else word_class(n[2])
     tail = text[j : j + 2]
     after = 1 if tail in ("'s", "’s") else 2 if tail[:1] in ".!?" else 3 if tail[:1] == "," else 4 if not tail.strip() else 5 if tail[:1] in ":;)" else 0
-    before = text[max(0, i - 44) : i].lower()
-    near = [w.strip(".,;:!?\"'()") for w in before.split()[-5:]]
+    near = [w.strip(_MARKS) for w in seg.lower().split()[-5:]]
     far = max((k for w in near if (k := CLASS.get(w, 0)) in (_KIN, _NAMED)), default=0)
     going = max((1 if w in MOVING else 2 if w in SPEAKING else 0 for w in near), default=0)
     own = int(start and first.endswith(_OWN_VERB))
@@ -313,16 +323,30 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
             if "@" in m[0] or _EMAIL_GATE.search(m[0]):
                 yield "email", m.start(), m.end(), _email_features(text, m.start(), m.end())
     if _ROOM_FOR_NUMBER.search(text):
+        before = {m[1].lower() for m in _WORD_NUMBER.finditer(text)}
         if _DIGITS5.search(text):
             for m in NUMBER.finditer(text):
                 yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
         for kind, hints in enumerate(_STREET_HINTS):
-            if any(h in text for h in hints):
+            if any(map(text.__contains__, hints)) or (kind in _ENDS and any(w.endswith(_ENDS[kind]) for w in before)):
                 for m in ADDRESS[kind].finditer(text):
                     yield "address", m.start(), m.end(), _address_features(text, m.start(), m.end(), kind)
     yield from _person_candidates(text)
 
 
+def _odd_pair(words: list[str], small: dict) -> bool:
+    """Whether two small-letter words stand together of which the second is out of the vocabulary, and the first too or a name."""
+    before = False
+    for w in words:
+        if w in small:
+            before = w in GIVEN or w in WORD_NAMES
+        else:
+            if before and w.islower() and w.rstrip(".,;:!?\"”’)").isalpha():
+                return True
+            before = w.isalpha() and w.islower()
+    return False
+
+
 def _one_script(word: str) -> bool:
     """Whether the letters are all Latin, all Greek or all Cyrillic (garbled marks are not)."""
     kinds = {0 if c < "\u0370" else 1 if c < "\u0400" else 2 for c in word if c.isalpha()}
@@ -332,7 +356,7 @@ def _one_script(word: str) -> bool:
 
 def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
     small, big = vocabulary()
-    caps = [(m.start(), m.end(), m[0]) for m in CAP.finditer(text)]
+    caps = [(m.start(), m.end(), m[0]) for m in (CAP_ASCII if text.isascii() else CAP).finditer(text)]
     if not text.isascii():
         caps = [c for c in caps if c[2].isascii() or _one_script(c[2])]
     language = -1
@@ -348,7 +372,7 @@ def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
     for s, e, w in caps:
         low = w.lower()
         if run:
-            g = GAP.fullmatch(text, run[-1][1], s)
+            g = GAP.fullmatch(text, run[-1][1], s) if s - run[-1][1] < 24 else None
             if g is None or (g[0] == "\n" and not _kind(run[-1][2].lower())):
                 close()
         if low in TITLES and text[e : e + 1] in (".", " ") and not (run and low in GIVEN):
@@ -384,7 +408,7 @@ def _person_candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
                 yield "person", i, j, _person_features(text, i, j, [words[0][2], m[0]], kind, language, small, big, 0, 1)
     if " the " in text or " and " in text or " my " in text or " was " in text or " to " in text:
         # two words the vocabularies do not know: a name in small letters
-        for m in _SMALL.finditer(text):
+        for m in _SMALL.finditer(text) if _odd_pair(text.split(), small) else ():
             a, b = m[1], m[2]
             if b not in small and (a not in small or a in GIVEN or a in WORD_NAMES) and a not in STOP:
                 i, j = m.start(1), m.end(2)
