@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import ngrams, tokens
 from storyloom.operators.ranking import global_row_number, portable_hash
+from storyloom.session import hot_keys, salted_lookup
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str, max_n: int = 1) -> DataFrame:
@@ -34,10 +35,11 @@ def tfidf(counts: DataFrame, id_col: str, n_docs: int, frequency: DataFrame | No
     ``frequency`` and ``n_docs`` come from the training documents (intended) or from ``counts`` itself.
     """
     df_ = document_frequency(counts) if frequency is None else frequency
-    rows = counts.join(df_, "term").withColumn("idf", F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
+    # the empty term is in nearly every document: rows of such terms are spread
+    rows = salted_lookup(counts, df_, "term", hot_keys(counts, "term")).withColumn("idf", F.log((1 + F.lit(float(n_docs))) / (1 + F.col("df"))) + 1)
     rows = rows.withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = rows.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(norms, id_col).select(id_col, "term", "tf", "df", "idf", (F.col("raw") / F.col("norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
+    return rows.withColumn("norm", norm).select(id_col, "term", "tf", "df", "idf", (F.col("raw") / F.col("norm")).alias("tfidf"))
 
 
 def train_test_split(df: DataFrame, id_col: str, share: float = 0.66) -> DataFrame:

@@ -85,6 +85,7 @@ ORACLES: dict[str, str] = {
     "squeeze_spaces": _text(r"regexp_replace(text, '\s+', ' ', 'g')", "squeezed"),
     "clean_text": _text(_clean("text"), "cleaned"),
     "blank_filter_observed": _q(_RESP, f"select narr_id, scene_idx, length({_clean('text')})::int as n_chars from rec"),
+    "scenes_read": _q(_RESP, f"select narr_id, scene_idx, length({_clean('text')})::int as n_chars from rec"),
     "blank_filter_intended": _q(_RESP, f"select narr_id, scene_idx, length({_clean('text')})::int as n_chars from rec where trim({_clean('text')}) <> ''"),
     "speaker_tag": _q(_LINES, f"select narr_id, line_no::int as line_no, case when instr(line, ':') > 0 then split_part(line, ':', 1) end as tag, case when instr(line, ':') > 0 then {_TAGS} end as speaker, {_HEAD} as heading from lines"),
     "strip_speaker": _q(_LINES, r"select narr_id, line_no::int as line_no, regexp_replace(line, '^\w*\s*\w*:\s*', '') as stripped from lines"),
@@ -122,6 +123,9 @@ ORACLES: dict[str, str] = {
     "accuracy": _q(_PRED, "select round(avg((label = prediction)::int), 6) as accuracy from pred where label is not null"),
     "mae": _q(_PRED, "select 'lift' as model, round(avg(e), 6) as mae from (select example_id % 5 f, avg(abs(label - prediction)) e from pred where label is not null group by 1)"),
     "param_grid": _q(_GRID, "select max_feat::int as max_feat, round(c, 9) as c, ngram::int as ngram from gr"),
+    "score_sheet_read": """with l as (select string_split(string_split(concat_ws(',', coalesce(narrative_num, ''), coalesce(high_agency, ''), coalesce(high_communion, ''), coalesce(high_c3, ''), coalesce(high_c4, ''), coalesce(high_c5, ''), coalesce(low_agency, ''), coalesce(low_communion, ''), coalesce(low_c8, ''), coalesce(low_c9, ''), coalesce(low_c10, ''), coalesce(turning_agency, ''), coalesce(turning_communion, '')), chr(9))[1], ',') c from narrative_score where line_no is not null)
+ select c[1] as narrative_num, c[2] as high_agency, c[3] as high_communion, c[7] as low_agency, c[8] as low_communion, c[12] as turning_agency, c[13] as turning_communion from l""",
+    "missing_numbers": "select n::int as narrative_num from range(1, 165) t(n) where n not in (select trim(narrative_num)::int from narrative where regexp_full_match(trim(narrative_num), '[0-9]{1,9}'))",
     "grid_best": _q(_GRID, "select * from (select 'best' as which, max_feat::int as max_feat, round(c, 9) as c, ngram::int as ngram, roc from gr order by roc desc, i, j, k limit 1) union all select * from (select 'worst', max_feat::int, round(c, 9), ngram::int, roc from gr order by roc, i, j, k limit 1)"),
     "grid_pivot": _q(_GRID, "select max_feat::int as max_feat, " + ", ".join(f"max(roc) filter (where j = {j}) as c{j}" for j in range(20)) + " from gr where ngram = 2 group by 1"),
     "cv_folds": _q(_FOLDS, "select fold::int as fold, example_id, is_test from folds"),

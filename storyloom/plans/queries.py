@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -271,9 +272,38 @@ def tfidf_refit(spark: SparkSession, d: str) -> DataFrame:
     return own.select("example_id", "term", six("tfidf").alias("observed")).join(right.select("example_id", "term", six("tfidf").alias("intended")), ["example_id", "term"], "left")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder all executors share; what is written there stays until the folder is cleared."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def score_sheet_read(spark: SparkSession, d: str) -> DataFrame:
+    """The score sheet written as the CSV file it comes from, and read by position."""
+    sheet = table(spark, d, "narrative_score").where("line_no is not null")
+    cells = ["narrative_num", *[c for c in sheet.columns if c not in ("line_no", "narrative_num")]]
+    rows = sheet.select("line_no", F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells]).alias("value"))
+    head = spark.createDataFrame([(-(2**62), ",".join(cells))], "line_no long, value string")
+    path = scratch(spark, "scores")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("line_no").select("value").write.text(path)  # one file, as the sheet is one
+    return readers.read_scores(spark, path).drop("line_no")
+
+
+def missing_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the usual range without a narrative."""
+    found = table(spark, d, "narrative").where(F.trim("narrative_num").rlike("^[0-9]{1,9}$")).select(F.trim("narrative_num").alias("narrative_num"))
+    return readers.missing_numbers(spark, found, 1, 164)
+
+
+def scenes_read(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned scenes written and read again."""
+    path = scratch(spark, "scenes")
+    writers.write_scenes(cleaned(spark, d), path)
+    return readers.read_scenes(spark, path).select("narr_id", "scene_idx", F.length("text").alias("n_chars"))
+
+
 def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Scene passages written as XML and read again."""
-    path = f"{shared_folder(spark)}/narratives-{spark.sparkContext.applicationId}-{abs(hash(d))}.xml"
+    path = scratch(spark, "narratives")
     writers.write_narrative_xml(writers.narrative_trees(scene_passages(spark, d), "narr_id"), path)
     flat = readers.flat_examples(readers.read_narrative_xml(spark, path))
     return flat.select(F.col("narrative_num").cast("long").alias("narr_id"), "scene_idx", "scene_name", "passage_idx", "speaker", F.coalesce("passage_text", F.lit("")).alias("text"))
@@ -345,6 +375,9 @@ QUERIES: dict[str, Query] = {
     "ordinal_fit": ordinal_fit,
     "roc_cell": roc_cell,
     "xml_roundtrip": xml_roundtrip,
+    "score_sheet_read": score_sheet_read,
+    "missing_numbers": missing_numbers,
+    "scenes_read": scenes_read,
     "p5_found": lambda s, d: shred.entities(table(s, d, "tagged_record"), fields=False).select("raw_id", "scene_idx", "passage_idx", "example_idx"),
     "p5_scene": lambda s, d: shred.entity_table(table(s, d, "tagged_record"), "scene"),
     "p5_passage": lambda s, d: shred.entity_table(table(s, d, "tagged_record"), "passage"),
