@@ -6,8 +6,6 @@ import numpy as np
 
 #: Values a feature may take: 0 .. VALUES - 1.
 VALUES = 32
-#: Times a negative row counts in calibration.
-NEGATIVES = 5
 #: Of the thresholds whose F1 is within this of the best one, the one nearest to even odds is taken.
 SLACK = 0.005
 
@@ -54,17 +52,18 @@ class Boosted:
     """A fitted binary model: trees as nested tuples, and a threshold.
 
     Rows come in folds. Each fold, scored by trees fitted on the others, has a threshold of greatest F1 (each negative
-    row counted ``NEGATIVES`` times, as real texts hold more of them); their median is taken, so that no odd frame
+    row counted ``negatives`` times, where real texts hold more of them); their median is taken, so that no odd frame
     decides, and the trees are fitted on all rows.
     """
 
-    def __init__(self, rows: list[tuple], labels: list[int], folds: list[int] | None = None, rounds: int = 100, depth: int = 4, rate: float = 0.25, lam: float = 1.0, seed: int = 0):
+    def __init__(self, rows: list[tuple], labels: list[int], folds: list[int] | None = None, negatives: float = 1.0, rounds: int = 100, depth: int = 4, rate: float = 0.25, lam: float = 1.0, seed: int = 0):
         x, y = np.clip(np.array(rows, dtype=np.int64), 0, VALUES - 1), np.array(labels, dtype=float)
         fold = np.random.default_rng(seed).integers(0, 4, len(y)) if folds is None else np.array(folds)
         # equal rows are one row of more weight
         both, self.weight = np.unique(np.column_stack([x, fold, y.astype(np.int64)]), axis=0, return_counts=True)
         x, fold, y = np.ascontiguousarray(both[:, :-2]), both[:, -2], both[:, -1].astype(float)
         self.memo: dict[tuple, float] = {}
+        self.negatives = negatives
         out = np.zeros(len(y))
         for k in np.unique(fold):
             held = fold == k
@@ -88,7 +87,7 @@ class Boosted:
     def _f1(self, p: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> float:
         w = self.weight if w is None else w
         hit = w[p & (y > 0)].sum()
-        return float(2 * hit / max(1, hit + w[p & (y == 0)].sum() * NEGATIVES + w[y > 0].sum()))
+        return float(2 * hit / max(1, hit + w[p & (y == 0)].sum() * self.negatives + w[y > 0].sum()))
 
     def _calibrate(self, score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
         cuts = sorted({0.0, *np.round(score[w > 0], 1)})

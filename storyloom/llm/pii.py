@@ -27,6 +27,8 @@ from storyloom.llm.boost import Boosted
 
 TYPES = ["email", "phone", "id_number", "address", "person"]
 
+#: Times a candidate that is none counts in calibration: texts hold far more capitalised words than names.
+NEGATIVES = {"person": 5}
 #: Vocabulary files (names of the installed tokenizer package, or paths).
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
@@ -77,6 +79,8 @@ _VERB_ENDS = ("ed", "ait", "ó", "ou", "л", "ла")
 # Words of moving (before a place) and of speaking, writing and giving (before a person).
 MOVING = set("between zwischen entre walk walked walking went go going gone come came coming back drive drove driven way road trip travel moved move flew fly ran run return returned bus train miles far fled left arrived live lived ging fuhr reiste kam zurück weg reise zog nach allé venu parti retour route vers fui fue vino llegó viaje camino volvió fui foi veio chegou viagem caminho voltou поехали приехал вернулся".split())
 SPEAKING = set("tell told write wrote say said speak spoke talk talked ask asked give gave letter thank thanks thanked show showed signed answer answered erzählt erzählte gesagt sagte schrieb gesprochen gab dit parlé écrit raconté répondu dije conté escribí hablé di disse contei escrevi falei dei сказал написал".split())
+#: Both, and words of kin and naming, that stand near a candidate: (class, moving or speaking).
+NEAR = {w: (CLASS.get(w, 0) if CLASS.get(w) in (_KIN, _NAMED) else 0, 1 if w in MOVING else 2 if w in SPEAKING else 0) for w in [*CLASS, *MOVING, *SPEAKING] if CLASS.get(w) in (_KIN, _NAMED) or w in MOVING or w in SPEAKING}
 STOP = {w for w, k in CLASS.items() if k in (_ARTICLE, _PLACE, _IS, _CONJ, _PRONOUN, _NAMED, _TIME, _PERSON, _KIN)} - WORD_NAMES - {"may", "april", "june", "august"} | set("not no nobody what why how where did do does can could would please yes well okay his all some most many then there these those everyone everybody nothing something somebody someone dr prof int interviewer interviewee respondent participant answer question q r nr bd est-ce qu'est-ce".split())
 
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3}|-\d{1,2})?"
@@ -91,7 +95,10 @@ _ADDR_AT = r"(?:\s?\(at\)\s?|\s?\[at\]\s?|\s+at\s+|@)"
 _ADDR_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"[\w+\-]+(?:{_ADDR_DOT}[\w+\-]+)*{_ADDR_AT}[A-Za-z0-9\-]+(?:{_ADDR_DOT}[A-Za-z0-9\-]+)+", re.I)
 _EMAIL_GATE = re.compile(r"@|[\[(]at[\])]|\sdot\s", re.I)
-NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Z]{1,2} (?=\d{6})|[A-Za-z]{1,3}-?(?=\d))?[+(]*\d(?:[ \-./()]{0,2}\d){4,17}(?:[ \-.]?[A-Za-z](?![A-Za-z]))?(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w@])|(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
+NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Z]{1,2} (?=\d{6})|[A-Za-z]{1,3}-?(?=\d))?[+(]*\d(?:[ \-./()]{0,2}\d){4,17}(?:[ \-.]?[A-Za-z](?![A-Za-z]))?(?:,? ?(?:ext\.?|x|extension) ?\d{1,5})?(?![\w@])")
+#: Two letters, six digits and a letter.
+LETTERED = re.compile(r"(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
+_LETTERED_HINT = re.compile(r"\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z]")
 _DIGITS5 = re.compile(r"\d(?:[ \-./()]{0,2}[\dA-Za-z]){4}")
 _W = r"[^\W\d_][\w’'.\-\x80-\xff\u0100-\u024f\u2010-\u203a\u20ac\u2122©]*"
 _TAIL = _W[_W.index("]") + 1 :]
@@ -304,15 +311,18 @@ def _person_features(text: str, i: int, j: int, words: list[str], title: int, la
     nxt2 = EDGE if not n or not n[2] else word_class(n[2])
     tail = text[j : j + 2]
     after = 1 if tail in ("'s", "’s") else 2 if tail[:1] in ".!?" else 3 if tail[:1] == "," else 4 if not tail.strip() else 5 if tail[:1] in ":;)" else 0
-    near = [w.strip(_MARKS) for w in seg.lower().split()[-5:]]
-    far = max((k for w in near if (k := CLASS.get(w, 0)) in (_KIN, _NAMED)), default=0)
-    going = max((1 if w in MOVING else 2 if w in SPEAKING else 0 for w in near), default=0)
+    far = going = 0
+    for w in seg.lower().split()[-5:]:
+        k = NEAR.get(w if w.isalpha() else w.strip(_MARKS))
+        if k:
+            far, going = max(far, k[0]), max(going, k[1])
     own = int(start and first.endswith(_OWN_VERB))
     gap = text[i:j]
+    classes = [CLASS.get(w.lower()) for w in words]
     return (
         min(len(words), 6), title, _kind(first), _kind(last) if len(words) > 1 else 3, small.get(first, 0), big.get(first, 0), small.get(last, 0), big.get(last, 0),
-        AFTER_WORD[prev], AFTER_WORD[prev2], BEFORE_WORD[nxt], BEFORE_WORD[nxt2], int(start), after, int(any(CLASS.get(w.lower()) == _INST for w in words)), int(any(CLASS.get(w.lower()) == _TIME for w in words)),
-        language, int(words[-1].isupper() and len(words[-1]) > 1), int("." in gap), int("-" in gap), far, family, comma, going, own, int(edge == ","), max(small.get(w.lower(), 0) for w in words),
+        AFTER_WORD[prev], AFTER_WORD[prev2], BEFORE_WORD[nxt], BEFORE_WORD[nxt2], int(start), after, int(_INST in classes), int(_TIME in classes),
+        language, int(words[-1].isupper() and len(words[-1]) > 1), int("." in gap), int("-" in gap), far, family, comma, going, own, int(edge == ","), small.get(first, 0) if len(words) == 1 else max(small.get(w.lower(), 0) for w in words),
     )
 
 
@@ -327,6 +337,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
         if _DIGITS5.search(text):
             for m in NUMBER.finditer(text):
                 yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
+            for m in LETTERED.finditer(text) if _LETTERED_HINT.search(text) else ():
+                yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
         for kind, hints in enumerate(_STREET_HINTS):
             if any(map(text.__contains__, hints)) or (kind in _ENDS and any(w.endswith(_ENDS[kind]) for w in before)):
                 for m in ADDRESS[kind].finditer(text):
@@ -336,6 +348,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
 
 def _odd_pair(words: list[str], small: dict) -> bool:
     """Whether two small-letter words stand together of which the second is out of the vocabulary, and the first too or a name."""
+    if not any(w.islower() and w.rstrip(".,;:!?\"”’)").isalpha() for w in set(words).difference(small)):
+        return False
     before = False
     for w in words:
         if w in small:
@@ -436,7 +450,7 @@ class Detector:
                     data[t][0].append(features)
                     data[t][1].append(int(t in hit))
                     data[t][2].append(fold)
-        self.models = {t: Boosted(x, y, folds) for t, (x, y, folds) in data.items()}
+        self.models = {t: Boosted(x, y, folds, NEGATIVES.get(t, 1)) for t, (x, y, folds) in data.items()}
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Selected spans in the text, in order and without overlap: the surest first, of equal ones the longest."""

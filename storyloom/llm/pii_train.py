@@ -129,7 +129,7 @@ class _Maker:
         if kind == "fr":
             return r.choice([f"{n} rue {w}", f"{n}, rue de {w}", f"{n} bis, avenue du {w}", f"{n} boulevard {w}", f"{n} chemin des {w}", f"{n} place {w}"])
         if kind == "es":
-            return r.choice([f"calle {w} {n}", f"Calle de {w}, {n}", f"Avda. {w} {n}", f"Plaza {w}, {n}", f"calle {w}, n.º {n}"])
+            return r.choice([f"calle {w} {n}", f"Calle de {w}, {n}", f"Avda. {w} {n}", f"Plaza {w}, {n}", f"calle {w}, n.º {n}", f"Avda. de la {w} n.º {n}"])
         if kind == "pt":
             return r.choice([f"Rua {w}, {n}", f"Rua da {w}, {n}", f"Av. {w}, {n}", f"Travessa do {w}, {n}"])
         if kind == "it":
