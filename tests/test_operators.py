@@ -243,3 +243,20 @@ def test_model_mae_takes_all_folds_and_fits_fully(spark, monkeypatch):
     with pytest.raises(Stop):
         queries.model_mae(spark, "")
     assert seen == {"folds": 50, "fit": {}}
+
+
+@pytest.mark.parametrize("shift", [0, 3_474_701_532, 10**12, 2**62])
+def test_portable_hash_of_large_keys(spark, shift):
+    keys = [shift, shift + 1, shift + 999]
+    got = spark.createDataFrame([(k,) for k in keys], "id long").select(ranking.portable_hash(F.col("id")).alias("h")).collect()
+    assert [r.h for r in got] == [k * 2654435761 % 2**32 for k in keys]
+
+
+def by_hash(keys, of=lambda k: k):
+    return sorted(keys, key=lambda k: (of(k) * 2654435761 % 2**32, k))
+
+
+def test_train_test_split_of_large_keys(spark):
+    keys = [10**12 + 7 * k for k in range(100)]
+    rows = features.train_test_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id").collect()
+    assert {r.id for r in rows if r.is_train} == set(by_hash(keys)[:66]) and len(rows) == 100
