@@ -260,3 +260,8 @@ def test_train_test_split_of_large_keys(spark):
     keys = [10**12 + 7 * k for k in range(100)]
     rows = features.train_test_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id").collect()
     assert {r.id for r in rows if r.is_train} == set(by_hash(keys)[:66]) and len(rows) == 100
+
+
+def test_split_counts_of_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(queries, "docs", lambda *_: spark.range(2**62, 2**62 + 50).select(F.col("id").alias("example_id"), F.lit(1).alias("label"), F.lit("a").alias("doc")))
+    assert {r.is_train: r.n for r in queries.QUERIES["split_counts"](spark, "").collect()} == {True: 33, False: 17}
