@@ -265,3 +265,10 @@ def test_train_test_split_of_large_keys(spark):
 def test_split_counts_of_large_keys(spark, monkeypatch):
     monkeypatch.setattr(queries, "docs", lambda *_: spark.range(2**62, 2**62 + 50).select(F.col("id").alias("example_id"), F.lit(1).alias("label"), F.lit("a").alias("doc")))
     assert {r.is_train: r.n for r in queries.QUERIES["split_counts"](spark, "").collect()} == {True: 33, False: 17}
+
+
+def test_unpaired_split_of_the_largest_keys(spark):
+    keys = [2**63 - 1 - 3 * k for k in range(50)]
+    rows = features.unpaired_split(spark.createDataFrame([(k, str(k)) for k in keys], "id long, label string"), "id", "label").collect()
+    left, right = by_hash(keys), by_hash(keys, lambda k: k + 7)
+    assert {r.id: (int(r.label), r.is_train) for r in rows} == {a: (b, at < 33) for at, (a, b) in enumerate(zip(left, right, strict=True))}
