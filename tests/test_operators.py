@@ -272,3 +272,11 @@ def test_unpaired_split_of_the_largest_keys(spark):
     rows = features.unpaired_split(spark.createDataFrame([(k, str(k)) for k in keys], "id long, label string"), "id", "label").collect()
     left, right = by_hash(keys), by_hash(keys, lambda k: k + 7)
     assert {r.id: (int(r.label), r.is_train) for r in rows} == {a: (b, at < 33) for at, (a, b) in enumerate(zip(left, right, strict=True))}
+
+
+@pytest.mark.parametrize("shift", [10**12, 2**62])
+def test_shuffle_split_of_large_keys(spark, shift):
+    keys = [shift + 5 * k for k in range(100)]
+    rows = evaluate.shuffle_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id", 3).collect()
+    for f in range(3):
+        assert {r.id for r in rows if r.fold == f and r.is_test} == set(by_hash(keys, lambda k: k * 31 + 1009 * (f + 1))[:10])  # noqa: B023
