@@ -280,3 +280,12 @@ def test_shuffle_split_of_large_keys(spark, shift):
     rows = evaluate.shuffle_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id", 3).collect()
     for f in range(3):
         assert {r.id for r in rows if r.fold == f and r.is_test} == set(by_hash(keys, lambda k: k * 31 + 1009 * (f + 1))[:10])  # noqa: B023
+
+
+def large_docs(spark, n):
+    return spark.range(n).select((F.col("id") + 2**62).alias("example_id"), (F.col("id") % 3 - 1).cast("int").alias("label"), F.concat_ws(" ", F.lit("word"), F.when(F.col("id") % 3 == 2, "won").otherwise("lost"), F.col("id").cast("string")).alias("doc"))
+
+
+def test_complete_folds_of_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 60))
+    assert {r.fold for r in queries.QUERIES["complete_folds"](spark, "").collect()} == set(range(50))
