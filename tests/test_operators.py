@@ -289,3 +289,10 @@ def large_docs(spark, n):
 def test_complete_folds_of_large_keys(spark, monkeypatch):
     monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 60))
     assert {r.fold for r in queries.QUERIES["complete_folds"](spark, "").collect()} == set(range(50))
+
+
+def test_tfidf_refit_of_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 60))
+    rows = queries.tfidf_refit(spark, "").collect()
+    assert {r.example_id for r in rows} == set(by_hash(range(2**62, 2**62 + 60))[40:]) and all(r.observed for r in rows)
+    assert all((r.intended is None) == r.term.isdigit() for r in rows)
