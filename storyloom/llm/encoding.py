@@ -10,9 +10,9 @@ be restored and are only reported.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cache, lru_cache, wraps
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,16 @@ TRAIN_ROWS = 600
 BUCKETS = 1 << 13
 
 
+#: Runs up to this length recur, so what becomes of them is kept; longer ones would only fill the memory.
+SHORT = 64
+
+
+def _kept(function: Callable) -> Callable:
+    """The function of a run, with its results for short runs kept."""
+    known = lru_cache(1 << 15)(function)
+    return wraps(function)(lambda run, *args: (known if len(run) <= SHORT else function)(run, *args))
+
+
 @cache
 def _table(enc: str) -> str:
     """The 256 characters of a one-byte encoding; bytes it leaves undefined stand for the C1 controls, as readers do it."""
@@ -135,6 +145,7 @@ def _invert_utf8(text: str, enc: str, times: int = 1) -> tuple[str, int]:
 _WIDE_OK = re.compile(r"[\x09\x0a\x20-\x7e£§©°·º»«¿¡½ªÀ-ÖØ-öø-ÿŒœ–—‘’“”„…€А-яЁё،؟ء-يऀ-ॿ฀-๿぀-ヿ一-鿿　-】！-～]+")
 
 
+@_kept
 def _invert_wide(run: str, enc: str) -> str | None:
     if "�" in run:
         # bytes were lost: restore what still decodes between the marks of loss
@@ -154,6 +165,7 @@ def _invert_wide(run: str, enc: str) -> str | None:
 
 
 _CYR_WORD = re.compile(r"[А-яЁёІіЇїЄєҐґ]+")
+_SENTENCE = re.compile(r"([.!?\n]+)")
 
 
 def _natural_case(text: str) -> float:
@@ -168,39 +180,52 @@ def _mixed(text: str, start: int, end: int, new: str) -> bool:
     return bool((before.isascii() and before.isalpha() and _CYR_WORD.match(new[0])) or (after.isascii() and after.isalpha() and _CYR_WORD.match(new[-1])))
 
 
+@_kept
+def _legacy_run(run: str, right: str, wrong: str) -> str | None:
+    """A run of a one-byte encoding read with another one, restored; None if that gives no plausible text with Cyrillic."""
+    own = _bytes_of(wrong)
+    if not all(c in own for c in run):
+        return None
+    new = bytes([own[c] for c in run]).decode(right, "replace")
+    return new if _PLAUSIBLE.fullmatch(new) and _CYR_WORD.search(new) else None
+
+
 def _invert_legacy(text: str, right: str, wrong: str) -> tuple[str, int]:
     """Text of a one-byte encoding read with another one; taken whole, if it gives Cyrillic words in natural case."""
-    own = _bytes_of(wrong)
     total = 0
-    pieces = re.split(r"([.!?\n]+)", text)
+    pieces = _SENTENCE.split(text)
     for i, piece in enumerate(pieces):
+        if piece.isascii():
+            continue
         n, out, at = 0, [], 0
         for m in _HIGH.finditer(piece):
-            if all(c in own for c in m[0]):
-                new = bytes([own[c] for c in m[0]]).decode(right, "replace")
-                if _PLAUSIBLE.fullmatch(new) and _CYR_WORD.search(new) and not _mixed(piece, m.start(), m.end(), new):
-                    out += [piece[at : m.start()], new]
-                    at = m.end()
-                    n += len(m[0])
+            new = _legacy_run(m[0], right, wrong)
+            if new and not _mixed(piece, m.start(), m.end(), new):
+                out += [piece[at : m.start()], new]
+                at = m.end()
+                n += len(m[0])
+        if n < 4:
+            continue
         new = "".join(out) + piece[at:]
-        if n >= 4 and _natural_case(new) > 0.8 and _natural_case(new) > _natural_case(piece) + 0.5:
+        if _natural_case(new) > 0.8 and _natural_case(new) > _natural_case(piece) + 0.5:
             pieces[i] = new
             total += n
     return ("".join(pieces), total) if total else (text, 0)
 
 
-_NEUTRAL = {i: " " for i in range(128) if not chr(i).isalpha()}
-_LATIN = re.compile(r"[A-Za-z]")
+# A character beyond ASCII beside a Latin letter.
+_BESIDE_LATIN = re.compile(r"[^\x00-\x7f](?:(?=[A-Za-z])|(?<=[A-Za-z].))")
 
 
 def grams(text: str) -> list[str]:
     """Each character beyond ASCII with its two neighbours, if a Latin letter is one of them; other ASCII counts as a space."""
-    t = f" {text} ".translate(_NEUTRAL)
-    found = [t[m.start() - 1 : m.end() + 1] for m in _ONE.finditer(t)]
-    return [g for g in found if _LATIN.search(g)]
+    t = f" {text} "
+    return [_neutral(t[m.start() - 1 : m.end() + 1]) for m in _BESIDE_LATIN.finditer(t)]
 
 
-_ONE = re.compile(r"[^\x00-\x7f]")
+@lru_cache(1 << 15)
+def _neutral(gram: str) -> str:
+    return "".join([" " if c.isascii() and not c.isalpha() else c for c in gram])
 
 
 def _invert_latin(text: str, right: str, wrong: str, seen: frozenset[str]) -> tuple[str, int]:
@@ -208,8 +233,10 @@ def _invert_latin(text: str, right: str, wrong: str, seen: frozenset[str]) -> tu
     and turns character neighbourhoods that clean records don't hold into ones they hold, and none the other way."""
     own = _bytes_of(wrong)
     total = 0
-    pieces = re.split(r"([.!?\n]+)", text)
+    pieces = _SENTENCE.split(text)
     for i, piece in enumerate(pieces):
+        if piece.isascii():
+            continue
         before = grams(piece)
         if all(g in seen for g in before):
             continue
@@ -274,9 +301,18 @@ def _hashed(raw: bytes) -> np.ndarray:
     return ((a[:-1] * np.uint32(256) + a[1:]) * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64) % BUCKETS
 
 
+def _around(text: str) -> list[str]:
+    """Each run beyond ASCII, with one character around it."""
+    return [text[max(0, m.start() - 1) : m.end() + 1] for m in _WIDE.finditer(text)]
+
+
 def run_bigrams(text: str) -> list[np.ndarray]:
     """Hashed byte bigrams of each run beyond ASCII, with one character around it."""
-    return [_hashed(text[max(0, m.start() - 1) : m.end() + 1].encode("utf-8", "replace")) for m in _WIDE.finditer(text)]
+    return [_hashed(run.encode("utf-8", "replace")) for run in _around(text)]
+
+
+#: Short runs whose likelihoods a process keeps.
+KEPT_RUNS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -285,13 +321,25 @@ class Model:
 
     weights: np.ndarray
     seen: frozenset[str]
+    kept: dict[str, np.ndarray] = field(default_factory=dict, compare=False, repr=False)
+
+    def of_run(self, run: str) -> np.ndarray:
+        """Log-likelihood of the run for each chain."""
+        out = self.kept.get(run)
+        if out is None:
+            out = self.weights[:, _hashed(run.encode("utf-8", "replace"))].sum(axis=1)
+            if len(run) <= SHORT:
+                if len(self.kept) >= KEPT_RUNS:
+                    self.kept.clear()
+                self.kept[run] = out
+        return out
 
     def likelier(self, text: str) -> list[int]:
         """Chains likelier than "clean" for one of the text's runs or for all of them, the likeliest of the whole first."""
-        runs = run_bigrams(text)
+        runs = _around(text)
         if not runs:
             return []
-        each = np.array([self.weights[:, b].sum(axis=1) for b in runs])
+        each = np.array([self.of_run(run) for run in runs])
         total = each.sum(axis=0)
         named = (each > each[:, :1]).any(axis=0) | (total > total[0])
         return [k for k in np.argsort(-total, kind="stable").tolist() if named[k]]
@@ -318,9 +366,6 @@ def train(clean: list[str]) -> Model:
     return Model(weights, frozenset(g for text in clean for g in grams(text)))
 
 
-_SENTENCE = re.compile(r"([.!?\n]+)")
-
-
 def _restore(piece: str, model: Model) -> tuple[str, list[str]]:
     """A sentence with what the predicted chains did undone, and those chains; every step makes it shorter or is the first."""
     used: list[str] = []

@@ -86,3 +86,25 @@ def test_every_garbled_sentence_is_restored(model):
     parts = [(t, c) for t in CLEAN[:3] for c in ("utf-8>cp1252", "utf-8>mac-roman", "utf-8>cp1251", "utf-8>cp437", "utf-8>latin-1")]
     text = " ".join(X.garble(t, c) for t, c in parts)
     assert X.diagnose(text, model)[1] == " ".join(t for t, _ in parts)
+
+
+def test_runs_that_recur_are_looked_at_once(model, monkeypatch):
+    bad = X.garble("Estábamos más unidos", "utf-8>cp1252")
+    seen, hashed = [], X._hashed
+    monkeypatch.setattr(X, "_hashed", lambda raw: seen.append(raw) or hashed(raw))
+    first = X.diagnose(bad, model)
+    once = len(seen)
+    assert all(X.diagnose(bad, model) == first for _ in range(20)) and len(seen) == once
+    # kept or not, results are those of the plain computation
+    runs = X._around(bad)
+    assert all((model.of_run(r) == model.weights[:, hashed(r.encode())].sum(axis=1)).all() for r in runs)
+    long = "é" * (X.SHORT + 1)
+    model.of_run(long)
+    assert long not in model.kept
+
+
+def test_grams_are_those_of_the_plain_definition():
+    text = "é1é aé;éb\né\u2028é Zé…é中é' x"
+    t = "".join(" " if c.isascii() and not c.isalpha() else c for c in f" {text} ")
+    plain = [t[i - 1 : i + 2] for i, c in enumerate(t) if not c.isascii() and any(x.isascii() and x.isalpha() for x in t[i - 1 : i + 2])]
+    assert X.grams(text) == plain and plain
