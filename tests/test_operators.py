@@ -296,3 +296,25 @@ def test_tfidf_refit_of_large_keys(spark, monkeypatch):
     rows = queries.tfidf_refit(spark, "").collect()
     assert {r.example_id for r in rows} == set(by_hash(range(2**62, 2**62 + 60))[40:]) and all(r.observed for r in rows)
     assert all((r.intended is None) == r.term.isdigit() for r in rows)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 30])
+def test_areas_of_blocks_are_those_of_all_pairs(spark, most):
+    r = np.random.default_rng(3)
+    blocks = [(r.random(50) < 0.4, r.integers(-9, 9, (50, 3)) * 10**11) for _ in range(4)]
+    blocks[0][1][:, 2] = 10**12
+    got = models._areas(spark.sparkContext.parallelize(blocks, 4), 3, 200, most)
+    high, value = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+    for q in range(3):
+        a, b = value[high, q][:, None], value[~high, q][None, :]
+        assert got[q] == ((a > b) + (a == b) / 2).mean()
+    assert models._areas(spark.sparkContext.parallelize([(np.ones(3, bool), np.zeros((3, 1), np.int64))], 1), 1, 3) == {}
+    assert models._areas(spark.sparkContext.parallelize([], 1), 2, 0) == {}
+
+
+@pytest.mark.parametrize("ngram", [1, 3])
+def test_counts_of_lines_are_those_of_terms(spark, ngram):
+    rows = spark.createDataFrame([(1, 0, "a b a  b. c"), (2, 1, ""), (3, 1, "b c b c"), (4, 1, None)], "id int, label int, doc string")
+    terms = features.terms(rows, "id", "doc", ngram)
+    want = {r.term: (r.tf, r.df) for r in terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).collect()}
+    assert {r.term: (r.tf, r.df) for r in models._counts(models._lines(rows, "label", "doc"), ngram).collect()} == want
