@@ -318,3 +318,8 @@ def test_counts_of_lines_are_those_of_terms(spark, ngram):
     terms = features.terms(rows, "id", "doc", ngram)
     want = {r.term: (r.tf, r.df) for r in terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).collect()}
     assert {r.term: (r.tf, r.df) for r in models._counts(models._lines(rows, "label", "doc"), ngram).collect()} == want
+
+
+def test_roc_cell_of_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 60))
+    assert queries.roc_cell(spark, "").first().loss < 0.01
