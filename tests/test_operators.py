@@ -323,3 +323,20 @@ def test_counts_of_lines_are_those_of_terms(spark, ngram):
 def test_roc_cell_of_large_keys(spark, monkeypatch):
     monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 60))
     assert queries.roc_cell(spark, "").first().loss < 0.01
+
+
+def test_split_with_null_and_equal_keys(spark):
+    keys = [None] * 50 + [7] * 30 + list(range(100, 120))
+    rows = features.train_test_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id").collect()
+    assert len(rows) == 50 and all(r.is_train for r in rows)  # 66 of 100 rows, of which 50 have no key
+    rows = features.train_test_split(spark.createDataFrame([(k,) for k in keys[50:]], "id long"), "id").collect()
+    assert len(rows) == 50 and sum(r.is_train for r in rows) == 33
+
+
+def test_split_ranks_one_range(spark):
+    """Nothing is broadcast that takes a pass to compute: rows of the other ranges are only compared."""
+    df = spark.range(5000)
+    out = features.train_test_split(df, "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Union" in plan
+    assert {r.id for r in out.collect() if r.is_train} == set(by_hash(range(5000))[:3300])
