@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import ngrams, tokens
 from storyloom.operators.ranking import global_row_number, hash_range, low_bits, portable_hash
-from storyloom.session import hot_keys, salted_lookup
+from storyloom.session import HOT_SHARE, checkpoint, driver_share, hot_keys, salted_lookup, spread
+
+#: Bytes that a broadcast term takes with its numbers, besides four a character.
+TERM_BYTES = 128
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str, max_n: int = 1) -> DataFrame:
@@ -43,6 +46,35 @@ def tfidf(counts: DataFrame, id_col: str, n_docs: int, frequency: DataFrame | No
     return rows.withColumn("norm", norm).select(id_col, "term", "tf", "df", "idf", (F.col("raw") / F.col("norm")).alias("tfidf"))
 
 
+def refit_tfidf(split: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, term, observed, intended)``: tf-idf of the test documents of a split by document frequencies of their own
+    (observed) and of the training documents (intended; null for terms these do not hold, each scaled to length 1).
+
+    Ids are unique. Only texts are shuffled: a document's terms are counted, weighed and scaled where it lies, and the
+    terms' frequencies are broadcast if they fit ``driver_share``, else joined with salts.
+    """
+    spark = split.sparkSession
+    # a null term more in every document counts the documents
+    words = F.array_append(F.coalesce(F.array_distinct(tokens(F.col(text_col))), F.array().cast("array<string>")), F.lit(None).cast("string"))
+    seen = split.select("is_train", F.explode(words).alias("term")).groupBy("term").agg(F.count_if(~F.col("is_train")).alias("own"), F.count_if("is_train").alias("known"))
+    seen = checkpoint(seen.where("own > 0 or term is null"))
+    n = seen.where("term is null").first() or {"own": 0, "known": 0}
+    lookup = seen.where("term is not null")
+    own = F.log((1 + F.lit(float(n["own"]))) / (1 + F.col("own"))) + 1
+    known = F.when(F.col("known") > 0, F.log((1 + F.lit(float(n["known"]))) / (1 + F.col("known"))) + 1)
+    weights = lookup.select("term", own.alias("_o"), known.alias("_i"))
+    rows = terms(spread(split.where("not is_train").select(id_col, text_col), id_col), id_col, text_col)
+    size, total = lookup.agg(F.coalesce(F.sum(4 * F.length("term") + TERM_BYTES), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
+    if size <= driver_share(spark):
+        rows = rows.join(F.broadcast(weights), "term")
+    else:
+        hot = max(total * HOT_SHARE, 1000)
+        rows = salted_lookup(rows, weights, "term", {r.term: math.ceil(r.own / hot) for r in lookup.where(F.col("own") > F.lit(hot)).collect()})
+    raw = {"observed": F.col("tf") * F.col("_o"), "intended": F.col("tf") * F.col("_i")}
+    norm = {c: F.sqrt(F.sum(x * x).over(Window.partitionBy(id_col))) for c, x in raw.items()}
+    return rows.select(id_col, "term", *[(x / norm[c]).alias(c) for c, x in raw.items()])
+
+
 def train_test_split(df: DataFrame, id_col: str, share: float = 0.66) -> DataFrame:
     """``is_train`` for exactly ``ceil(n * share)`` rows in the order of a portable hash of the id; pairs stay together.
 

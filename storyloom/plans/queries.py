@@ -266,13 +266,8 @@ def model_mae(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_refit(spark: SparkSession, d: str) -> DataFrame:
     """tf-idf of the test part by document frequencies of its own (observed) and of the training part (intended)."""
-    split = checkpoint(features.train_test_split(docs(spark, d).select("example_id", "doc"), "example_id"))
-    train, test = split.where("is_train"), split.where("not is_train")
-    counts = checkpoint(features.terms(test, "example_id", "doc"))
-    known = features.document_frequency(features.terms(train, "example_id", "doc"))
-    own = features.tfidf(counts, "example_id", test.count())
-    right = features.tfidf(counts, "example_id", train.count(), known)
-    return own.select("example_id", "term", six("tfidf").alias("observed")).join(right.select("example_id", "term", six("tfidf").alias("intended")), ["example_id", "term"], "left")
+    split = features.train_test_split(docs(spark, d).select("example_id", "doc"), "example_id")
+    return features.refit_tfidf(split, "example_id", "doc").select("example_id", "term", six("observed").alias("observed"), six("intended").alias("intended"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -325,6 +325,21 @@ def test_roc_cell_of_large_keys(spark, monkeypatch):
     assert queries.roc_cell(spark, "").first().loss < 0.01
 
 
+def test_tfidf_refit_shuffles_only_texts(spark, monkeypatch):
+    monkeypatch.setattr(queries, "docs", lambda *_: large_docs(spark, 600))
+    out = queries.tfidf_refit(spark, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(example_id") == 1 and "SortMergeJoin" not in plan
+    rows = {(r.example_id, r.term): (r.observed, r.intended) for r in out.collect()}
+    monkeypatch.setattr(features, "driver_share", lambda _: 0)  # terms that do not fit are joined with salts
+    again = queries.tfidf_refit(spark, "").collect()
+    assert len(again) == len(rows) and rows == {(r.example_id, r.term): (r.observed, r.intended) for r in again}
+    assert {k for k, _ in rows} == set(by_hash(range(2**62, 2**62 + 600))[396:])
+    for k in {k for k, _ in rows}:
+        for side in (0, 1):
+            assert sum(v[side] ** 2 for (i, _), v in rows.items() if i == k and v[side]) == pytest.approx(1, abs=1e-5)
+
+
 def test_split_with_null_and_equal_keys(spark):
     keys = [None] * 50 + [7] * 30 + list(range(100, 120))
     rows = features.train_test_split(spark.createDataFrame([(k,) for k in keys], "id long"), "id").collect()
