@@ -99,7 +99,8 @@ NUMBER = re.compile(r"(?<![\w.,/\-])(?:[A-Z]{1,2} (?=\d{6})|[A-Za-z]{1,3}-?(?=\d
 #: Two letters, six digits and a letter.
 LETTERED = re.compile(r"(?<![\w\-])[A-Za-z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z](?!\w)")
 _LETTERED_HINT = re.compile(r"\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-Za-z]")
-_DIGITS5 = re.compile(r"\d(?:[ \-./()]{0,2}[\dA-Za-z]){4}")
+#: Both of these hold such digits.
+_DIGITS5 = re.compile(r"\d(?:[ \-./()]{0,2}\d){4}")
 _W = r"[^\W\d_][\w’'.\-\x80-\xff\u0100-\u024f\u2010-\u203a\u20ac\u2122©]*"
 _TAIL = _W[_W.index("]") + 1 :]
 STREET_EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Drive|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row|Parkway|Pkwy|Highway|Hwy|Circle|Trail|Alley|Mews"
@@ -120,10 +121,10 @@ _STREETS = [
 ADDRESS = [re.compile(p) for p in _STREETS]
 #: Per pattern, words without one of which it can't match.
 _STREET_HINTS = [
-    (" ",),  # begins with a number
+    (),  # by _AFTER_NUMBER
     ("Box", "Postfach", "Apartado", "aixa", "C.P.", "BP ", "B.P.", "а/я", "Casilla"),
     ("stra", "Am ", "An d", "Im ", "Zum", "Zur", "Auf d", "In der", "Unter den", " Straße", " Str."),
-    (" ",),  # begins with a number
+    (),  # by _AFTER_NUMBER
     ("alle ", "C/", "vda", "venida", "laza", "aseo", "amino", "arrera", "onda ", "arretera"),
     ("ua ", "v. ", "venida", "ravessa", "raça", "lameda", "strada", "argo ", "odovia"),
     ("ул", "пр", "пер", "бульвар", "шоссе", "наб"),
@@ -132,8 +133,10 @@ _STREET_HINTS = [
     ("ul.", "ulic", "al.", "alej", "pl.", "os."),
     ("号", "號", "町", "丁目"),
 ]
-#: A word with a number behind it, and how the words of the German and Dutch patterns end there.
-_WORD_NUMBER = re.compile(r"([^\W\d_][^\W\d_]*\.?)[ \n]\d")
+#: What follows the number that patterns 0 and 3 begin with; without it they can't match.
+_AFTER_NUMBER = {0: re.compile(r"\d[A-Za-z]?,? (?:[NSEW]\.? )?[A-Z]"), 3: re.compile(r"\d(?: (?:bis|ter|quater))?,? [abcipqrs]")}
+#: A number behind a word, and how the words of the German and Dutch patterns end there.
+_NUMBER_BEHIND = re.compile(r"[ \n]\d")
 _ENDS = {2: ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer", "hang", "steig", "pfad"), 8: ("straat", "laan", "gracht", "kade", "plein", "dijk", "singel", "weg")}
 _ROOM_FOR_NUMBER = re.compile(r"\d")
 
@@ -333,14 +336,19 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple]]:
             if "@" in m[0] or _EMAIL_GATE.search(m[0]):
                 yield "email", m.start(), m.end(), _email_features(text, m.start(), m.end())
     if _ROOM_FOR_NUMBER.search(text):
-        before = {m[1].lower() for m in _WORD_NUMBER.finditer(text)}
+        low = text.lower()
+        behind = [m.start() for m in _NUMBER_BEHIND.finditer(low)]
         if _DIGITS5.search(text):
             for m in NUMBER.finditer(text):
                 yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
             for m in LETTERED.finditer(text) if _LETTERED_HINT.search(text) else ():
                 yield "number", m.start(), m.end(), _number_features(text, m.start(), m.end())
         for kind, hints in enumerate(_STREET_HINTS):
-            if any(map(text.__contains__, hints)) or (kind in _ENDS and any(w.endswith(_ENDS[kind]) for w in before)):
+            if kind in _AFTER_NUMBER:
+                may = _AFTER_NUMBER[kind].search(text)
+            else:
+                may = any(map(text.__contains__, hints)) or (kind in _ENDS and any(low.endswith(_ENDS[kind], 0, at) for at in behind))
+            if may:
                 for m in ADDRESS[kind].finditer(text):
                     yield "address", m.start(), m.end(), _address_features(text, m.start(), m.end(), kind)
     yield from _person_candidates(text)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from storyloom.llm import pii
@@ -120,3 +122,27 @@ def test_table(spark):
     assert got[1].pii_types == ["email"] and got[1].redacted == "Write to [EMAIL] now." and got[3].redacted == "" and set(got) == {1, 3, 4}
     assert {tuple(r) for r in pii.find_pii(df, "id", "text", keep_text=False).collect()} == {(1, "email")}
     assert pii.find_pii(df.where("false"), "id", "text").count() == 0
+
+
+def test_patterns_are_tried_wherever_they_match(monkeypatch):
+    texts = [
+        "We met at 12B, N. High Street, Apt 4 then.", "at 5-7 Elm Rd. and 3 –4 Oak Lane", "Unit 4, 22 Long Hill Way", "12 bis, rue Victor Hugo", "5 quater av. Foch", "7, allée des Pins", "10 sentier vert", "3 bd. Raspail", "LANGE STRASSE 5",
+        "in der Bahnhofstr. 12 b", "Goetheweg\n7", "Prinsengracht 263", "Σ Kirchplatz ٣", "tel 555 123 4567 x12", "AB 12 34 56 C", "x1-2-3-4-5", "in 2019 was 12 a b", "no digits on Elm Street",
+    ]
+    found = [list(pii.candidates(t)) for t in texts]
+    assert sum(f[0] == "address" for fs in found for f in fs) >= 10
+
+    class Always:
+        def search(self, text):
+            return True
+
+    monkeypatch.setattr(pii, "_STREET_HINTS", [("",)] * len(pii.ADDRESS))
+    monkeypatch.setattr(pii, "_AFTER_NUMBER", {})
+    monkeypatch.setattr(pii, "_DIGITS5", Always())
+    assert [list(pii.candidates(t)) for t in texts] == found
+
+
+def test_candidates_take_time_in_proportion_to_a_word():
+    began = time.process_time()
+    list(pii.candidates("a" * 60_000 + " b5"))
+    assert time.process_time() - began < 1.5
