@@ -355,3 +355,17 @@ def test_split_ranks_one_range(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Union" in plan
     assert {r.id for r in out.collect() if r.is_train} == set(by_hash(range(5000))[:3300])
+
+
+def test_folds_wait_for_no_broadcast(spark):
+    """What is broadcast is a row a fold that the driver holds already, not a pass over the table."""
+    out = evaluate.shuffle_split(spark.range(500), "id", 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" not in plan
+    for f in range(4):
+        assert {r.id for r in out.collect() if r.fold == f and r.is_test} == set(by_hash(range(500), lambda k: k * 31 + 1009 * (f + 1))[:50])  # noqa: B023
+
+
+def test_complete_folds_need_every_class_of_the_table(spark):
+    rows = [(0, 1, False), (0, 2, False), (0, None, False), (1, 1, False), (1, 2, True), (2, 1, False), (3, 1, True), (3, 2, True)]
+    assert [r.fold for r in evaluate.complete_folds(spark.createDataFrame(rows, "fold int, label int, is_test boolean"), "label").collect()] == [0]
